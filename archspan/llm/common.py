@@ -28,6 +28,15 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
 
 
+def packed(df: DataFrame, **added: Column) -> DataFrame:
+    """All columns of ``df`` in a struct ``_row``, beside ``added``: no name can clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[c.alias(n) for n, c in added.items()])
+
+
+def unpacked(names: list[str]) -> list[Column]:
+    return [F.col("_row").getField(c).alias(c) for c in names]
+
+
 def words(text: Column) -> Column:
     """Array of maximal runs of non-space characters; null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), "")

@@ -17,7 +17,7 @@ ends. Positions come from sums inside hash ranges of a source plus the sums of t
 ranges before, so a source with a third of the rows is spread over many tasks.
 
 Null text has 0 words and is never taken. Rows that repeat a doc_id are separate
-documents. Empty tables give no rows. Clashing columns are replaced.
+documents. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, n_words, small, without
+from .common import Scratch, n_words, packed, small, unpacked
 
 BLOCKS = 65_536
 #: Blocks for each source at least, should there be many sources.
@@ -148,13 +148,10 @@ def mixed(df: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS) -> D
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.greatest("size", F.lit(1))) + (chance < rest).cast("long")).otherwise(0)
     counted = taken.select("_h", "_g", copies.alias("_c")).groupBy("_h", "_g").agg(F.sum("_c").alias("_c"), F.count(F.lit(1)).alias("_m"))
     counted = scratch.write(counted.filter("_c > 0"), "copies")
-    held = without(df, "_h", "_g", "_c", "_m")
-    keyed = held.withColumns({"_h": F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), "_g": F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("text"), F.col("source"))})
+    keyed = packed(df, _h=F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), _g=F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("text"), F.col("source")))
     joined = keyed.join(counted, ["_h", "_g"])
-    columns = [F.col(f"`{c}`") for c in held.columns]
     repeat = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_c"))).alias("_i")
-    once = joined.filter("_m = 1").select(*columns, repeat).drop("_i")
+    once = joined.filter("_m = 1").select("_row", repeat)
     if counted.filter("_m > 1").take(1):
-        alike = joined.filter("_m > 1").dropDuplicates(["_h", "_g"])
-        once = once.unionByName(alike.select(*columns, repeat).drop("_i"))
-    return once
+        once = once.unionByName(joined.filter("_m > 1").dropDuplicates(["_h", "_g"]).select("_row", repeat))
+    return once.select(*unpacked(df.columns))

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes
-from .common import Scratch, ship, small
+from .common import Scratch, packed, ship, small, unpacked
 
 SIMILARITY = 0.8
 WIDTH = 5
@@ -316,11 +316,11 @@ def dedup(df: DataFrame) -> DataFrame:
     fate = rows.join(marked, "tkey").select("tkey", "doc_id", "n", (F.col("stays") & F.col("doc_id").eqNullSafe(F.col("first_id"))).alias("stays"))
     apart = scratch.write(fate.filter("not stays or n > 1").select(F.col("tkey").alias("_k"), F.col("doc_id").alias("_d"), "stays"), "apart")
     n = apart.count()
-    keyed = df.withColumn("_tkey", _key())
-    same = (keyed["_tkey"] == F.col("_k")) & keyed["doc_id"].cast("long").eqNullSafe(F.col("_d"))
-    plain = keyed.join(small(apart, n), same, "left_anti").drop("_tkey")
+    keyed = packed(df, _tkey=_key(), _id=F.col("doc_id").cast("long"))
+    same = (keyed["_tkey"] == F.col("_k")) & keyed["_id"].eqNullSafe(F.col("_d"))
+    plain = keyed.join(small(apart, n), same, "left_anti").select(*unpacked(df.columns))
     again = apart.filter("stays")
     if n and (m := again.count()):
-        one = keyed.join(small(again, m), same, "left_semi").dropDuplicates(["_tkey", "doc_id"]).drop("_tkey")
+        one = keyed.join(small(again, m), same, "left_semi").dropDuplicates(["_tkey", "_id"]).select(*unpacked(df.columns))
         return plain.unionByName(one)
     return plain

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, near_dedup, quality_rules, sharding, token_count
+from . import chat, decontaminate, line_dedup, mixing, near_dedup, quality_model, quality_rules, secret_scan, sharding, token_count
 from .common import table, utf8_bytes
 
 SHARDS = 24
@@ -34,11 +34,24 @@ def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), seed=23)
 
 
+def op4_chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.messages(table(spark, sf_dir, "conversations"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_count.counts(docs, os.path.join(VOCABULARIES, "byte_bpe_50k.json"), limit=512)
 
 
+def op6_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from labels outside the held-out third only."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(~held_out).select("doc_id", F.col("quality").alias("label"))
+    model = quality_model.fit(docs, labels)
+    return quality_model.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
@@ -51,6 +64,28 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_recurring_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = line_dedup.marked(docs)
+    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")
+    return rows.select("doc_id", lines.alias("n_lines"), F.size("dropped_lines").cast("long").alias("n_dropped"), "dropped_lines")
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    base = F.filter("findings", lambda x: x["layers"] == "")
+    count = lambda kind: F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("findings")).alias("spans"),
+    )
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
