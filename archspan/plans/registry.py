@@ -1,13 +1,363 @@
-"""Registered queries of the graph engine and their SQL counterparts."""
+"""Registered queries of the graph engine and their SQL counterparts.
 
+A query is a pair: a function of (spark, sf_dir), and SQL for the same rows where
+SQL can express them. SQL shares the projection as common table expressions.
+"""
 
-def flagship(spark, sf_dir):
-    return queries()["boundary"](spark, sf_dir)
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import classify
+from ..functions.pattern import to_like
+from ..operators import edges as E
+from ..operators import graph as G
+from ..operators import infra, lookup, policy, ranges
+from ..sources import projection as P
+from . import sexpr
 
-def oracle_sql():
-    return {}
+PART = "wh/services/part_10"
+SUPPLIER = "wh/infra/supplier_3"
+NATION = "wh/domain/nation_3"
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+_CTES = {
+    "edges": P.EDGES_SQL,
+    "neighbors": P.NEIGHBORS_SQL,
+    "modules": P.MODULES_SQL,
+    "calls": P.CALLS_SQL,
+    "entities": P.ENTITIES_SQL,
+    "layered": f"select module, purpose, {classify.layer_by_path_sql('module')} as layer from modules",
+    "ends": "select etype, source, target, split_part(source,'::',1) as src_mod, split_part(target,'::',1) as dst_mod, nullif(split_part(source,'::',2),'') as src_ent, nullif(split_part(target,'::',2),'') as dst_ent from edges",
+    "deny": "select * from (values " + ",".join(f"('{a}','{b}','{c}')" for a, b, c in classify.DENY_RULES) + ") t(src_layer, dst_layer, reason)",
+    "lines": "select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) + 1 as line_no from documents",
+}
+_NEEDS = {"neighbors": ("edges",), "layered": ("modules",), "ends": ("edges",)}
+
+
+def _with(*names: str, recursive: str = "") -> str:
+    """WITH clause of the named pieces and what they need."""
+    order: list[str] = []
+
+    def add(name: str) -> None:
+        for needed in _NEEDS.get(name, ()):
+            add(needed)
+        if name not in order:
+            order.append(name)
+
+    for name in names:
+        add(name)
+    body = ", ".join(f"{n} as ({_CTES[n]})" for n in order)
+    return f"with recursive {body}{', ' + recursive if recursive else ''} " if body or recursive else ""
+
+
+def _query(name: str, sql: str | None = None):
+    def keep(function):
+        _QUERIES[name] = function
+        if sql:
+            _SQL[name] = sql
+        return function
+
+    return keep
+
+
+def _hop_sql(root: str, depth: int, reverse: bool = False) -> str:
+    """Levels 1..depth as CTEs over ``near``."""
+    here, there = ("dst_mod", "src_mod") if reverse else ("src_mod", "dst_mod")
+    parts = [f"near as (select {here} as here, {there} as there, via from neighbors)", f"l0 as (select '{root}' as module, 0 as depth, '' as via)"]
+    for k in range(1, depth + 1):
+        seen = " union ".join(f"select module from l{i}" for i in range(k))
+        parts.append(f"l{k} as (select near.there as module, {k} as depth, min(near.via) as via from l{k - 1} join near on near.here=l{k - 1}.module where near.there not in ({seen}) group by near.there)")
+    rows = " union all ".join(f"select module, cast(depth as int) as depth, via from l{k}" for k in range(1, depth + 1))
+    return _with("neighbors", recursive=", ".join(parts)) + rows
+
+
+def _roots(spark: SparkSession, *modules: str) -> DataFrame:
+    return spark.createDataFrame([(m,) for m in modules], "module string")
+
+
+# Neighbors and boundaries.
+_query("neighbors_out", _with("neighbors") + f"select dst_mod as module, via from neighbors where src_mod='{PART}'")(lambda s, d: P.graph(s, d).neighbors.filter(F.col("src_mod") == PART).select(F.col("dst_mod").alias("module"), "via"))
+_query("neighbors_in", _with("neighbors") + f"select src_mod as module, via from neighbors where dst_mod='{SUPPLIER}'")(lambda s, d: P.graph(s, d).neighbors.filter(F.col("dst_mod") == SUPPLIER).select(F.col("src_mod").alias("module"), "via"))
+_query("neighbors_all", _with("neighbors") + "select src_mod, dst_mod, via from neighbors")(lambda s, d: P.graph(s, d).neighbors)
+_BOUNDARY = (
+    f"select 'self' as role, module, '' as via from modules where module='{PART}' union all select 'out', dst_mod, via from neighbors where src_mod='{PART}' "
+    f"union all select 'in', src_mod, via from neighbors where dst_mod='{PART}'"
+)
+_query("boundary", _with("neighbors", "modules") + _BOUNDARY)(lambda s, d: G.boundary(P.graph(s, d), PART))
+_query("boundary_files", _with("neighbors", "modules") + f"select path, min(cast(case role when 'self' then 0 when 'out' then 1 else 2 end as int)) as rank from ({_BOUNDARY}) b join modules m on m.module=b.module group by path")(lambda s, d: G.boundary_files(P.graph(s, d), PART))
+_query(
+    "module_view",
+    _with("ends", "modules", "entities")
+    + f"select 'node' as section, module as name, lang as detail from modules where module='{PART}' union all select 'entity', name, concat(kind,' ',line) from entities where module='{PART}' "
+    f"union all select 'out', target, etype from ends where src_mod='{PART}' union all select 'in', source, etype from ends where dst_mod='{PART}' and src_mod<>'{PART}'",
+)(lambda s, d: lookup.module_view(P.graph(s, d), PART))
+
+
+# Resolution and search.
+def _resolve_sql(pattern: str) -> str:
+    tier = f"case when module='{pattern}' then 1 when right(module, {len(pattern)})='{pattern}' then 2 when position('{pattern}' in module)>0 then 3 when position('{pattern.lower()}' in lower(module))>0 then 4 end"
+    return _with("modules") + f"select module, cast(tier as int) as tier from (select module, tier, min(tier) over () as best, row_number() over (partition by tier order by module) as r from (select module, {tier} as tier from modules) x where tier is not null) y where tier=best and (tier<=2 or r<=10)"
+
+
+for _name, _pattern in (("resolve_exact", "wh/types/region_1"), ("resolve_suffix", "nation_7"), ("resolve_substring", "supplier_1"), ("resolve_ci", "WH/API/Order_1")):
+    _query(_name, _resolve_sql(_pattern))(lambda s, d, p=_pattern: lookup.resolve(P.modules(s, d), p))
+
+for _name, _pattern in (("search_modules", "supplier_1.*0"), ("search_anchored", "^part_1.*5$")):
+    _like = to_like(_pattern)
+    _query(_name, _with("modules") + f"select module from modules where lower(module) like '{_like}' escape '!' or lower(regexp_replace(module,'^.*/','')) like '{_like}' escape '!'")(lambda s, d, p=_pattern: lookup.search(P.modules(s, d), p))
+_query("suggest_similar", _with("modules") + "select module, cast(score as int) as score from (select module, " + "+".join(f"cast(position('{p}' in lower(module))>0 as int)" for p in ("wh", "infra", "supplyer", "1")) + " as score from modules) x where score>0 order by score desc, module limit 5")(lambda s, d: lookup.suggest(P.modules(s, d), "wh/infra/supplyer_1"))
+
+# Entities.
+_query("entity_defs", _with("entities") + "select module, name, kind, line from entities where name='line3'")(lambda s, d: lookup.entity_definitions(P.graph(s, d), "line3"))
+_query("entity_pattern", _with("entities") + "select module, name, kind, line from entities where lower(name) like 'part1%7' escape '!'")(lambda s, d: lookup.entity_definitions(P.graph(s, d), "^part1.*7$"))
+_query("entity_refs", _with("ends") + "select etype, source, target from ends where src_ent='line7' or dst_ent='line7'")(lambda s, d: lookup.entity_references(P.graph(s, d), "line7"))
+_query("refs_to", _with("ends") + "select distinct src_mod as module from ends where src_ent='line6' or dst_ent='line6'")(lambda s, d: lookup.refs_to(P.graph(s, d), "line6"))
+_query("key_entities", _with("ends") + "select name, count(*) as n_refs, count(distinct src_mod) as n_modules from (select src_ent as name, src_mod from ends union all select dst_ent, src_mod from ends) t where name is not null group by name")(lambda s, d: lookup.key_entities(P.graph(s, d)))
+_query(
+    "find_function",
+    _with("entities") + "select distinct concat(module,'::',name) as id, line, 'function' as kind from entities where kind='fn' and name='line1' "
+    "union all select concat(e.module,'::',e.name,'.line1'), e.line, 'method' from entities e where kind='cls' and not exists (select 1 from entities f where f.kind='fn' and f.module=e.module and f.name='line1')",
+)(lambda s, d: lookup.find_function(P.graph(s, d), "^line1$"))
+_query("find_type", _with("entities") + "select module, name, kind, line from entities where kind in ('cls','mod','ifc','typ','enm') and lower(name) like '%a%' escape '!'")(lambda s, d: lookup.find_type(P.graph(s, d), "a"))
+_query("entity_uid", _with("entities") + "select distinct module, name, substr(sha1(concat(module,'::',name)),1,8) as uid from entities")(lambda s, d: P.entities(s, d).select("module", "name", classify.entity_uid(F.col("module"), F.col("name")).alias("uid")).distinct())
+
+# Traversal.
+for _k in (1, 2, 3):
+    _query(f"deps_k{_k}", _hop_sql(PART, _k))(lambda s, d, k=_k: G.hops(P.graph(s, d), _roots(s, PART), k).select("module", "depth", "via"))
+for _k in (1, 2):
+    _query(f"rdeps_k{_k}", _hop_sql(SUPPLIER, _k, True))(lambda s, d, k=_k: G.hops(P.graph(s, d), _roots(s, SUPPLIER), k, True).select("module", "depth", "via"))
+_query("deps_k6_frontier", _hop_sql(PART, 6))(lambda s, d: G.hops(P.graph(s, d), _roots(s, PART), 6).select("module", "depth", "via"))
+_query("deps_strict")(lambda s, d: G.walk(P.graph(s, d), _roots(s, PART), 3))
+_query("flow_entity")(lambda s, d: G.flow(P.graph(s, d), PART, "line1", 2))
+_query("find_callers", _with("calls") + "select source, target from calls where split_part(target,'::',2) like '%purchase%'")(lambda s, d: lookup.find_callers(P.graph(s, d, True), "purchase"))
+_query("find_calls", _with("calls") + "select source, target from calls where split_part(source,'::',2) like '%purchase%'")(lambda s, d: lookup.find_calls(P.graph(s, d, True), "purchase"))
+
+
+@_query("callchain_hops")
+def _callchain(spark, sf_dir):
+    calls = P.calls(spark, sf_dir).select("source", "target")
+    first = calls.agg(F.min("source").alias("node"))
+    last = calls.filter("source like 'ev/u1::%'").agg(F.max("target").alias("node"))
+    return G.call_chain(calls, calls.filter("source like 'ev/u1::%'").agg(F.min("source").alias("node")).union(first), last, 3)
+
+
+_COMMITS = "select concat('c',conv_id,'_',turn) as sha, case when turn>0 then concat('c',conv_id,'_',turn-1) end as first_parent from conversations"
+
+
+def _commits(spark, sf_dir):
+    sha = lambda turn: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("_"), turn.cast("string"))
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return rows.select(sha(F.col("turn")).alias("sha"), F.when(F.col("turn") > 0, sha(F.col("turn") - 1)).alias("first_parent"))
+
+
+_query("descendants", f"with recursive commits as ({_COMMITS}), r as (select sha as node, cast(1 as int) as depth from commits where first_parent='c1_0' union select c.sha, r.depth+1 from r join commits c on c.first_parent=r.node) select node, depth from r")(
+    lambda s, d: G.closure(_commits(s, d).select(F.col("first_parent").alias("parent"), F.col("sha").alias("child")), s.createDataFrame([("c1_0",)], "node string"))
+)
+
+# Policy.
+_query("layers", _with("layered") + "select layer, count(*) as n_modules from layered group by layer")(lambda s, d: policy.layers(P.modules(s, d)))
+_query("layer_of", _with("layered") + "select module from layered where layer='domain'")(lambda s, d: policy.layered(P.modules(s, d)).filter("layer = 'domain'").select("module"))
+_query(
+    "boundaries_violations",
+    _with("ends", "layered", "deny") + "select e.src_mod as source, e.dst_mod as target, e.etype, s.layer as src_layer, t.layer as dst_layer, d.reason from ends e join layered s on s.module=e.src_mod join layered t on t.module=e.dst_mod join deny d on d.src_layer=s.layer and d.dst_layer=t.layer where e.etype in ('imports','data-flow') and e.src_mod<>e.dst_mod",
+)(lambda s, d: policy.violations(P.graph(s, d)))
+_query("violations_set", _with("ends", "layered", "deny") + "select distinct e.src_mod as module from ends e join layered s on s.module=e.src_mod join layered t on t.module=e.dst_mod join deny d on d.src_layer=s.layer and d.dst_layer=t.layer where e.etype in ('imports','data-flow') and e.src_mod<>e.dst_mod")(lambda s, d: sexpr.query(P.graph(s, d), "(violations all)"))
+_query("v1_purpose_violations", _with("ends", "modules") + "select distinct e.src_mod as source, e.dst_mod as target, 'domain imports infrastructure without abstract base' as detail from ends e join modules s on s.module=e.src_mod join modules t on t.module=e.dst_mod where e.etype='imports' and s.purpose like '%domain%' and t.purpose like '%infrastructure%'")(lambda s, d: policy.purpose_violations(P.graph(s, d)))
+_query("invariants", _with("modules") + "select module, lang, pkg, naming as actual, 'PascalCase camelCase kebab-case mixed' as expected from modules where lang='tsx'")(lambda s, d: policy.naming_violations(P.modules(s, d)))
+_query("invariants_summary", _with("modules") + "select count(*) filter (lang='tsx') as violations, count(*) as checked from modules")(lambda s, d: policy.naming_summary(P.modules(s, d)))
+_NAMES = "select distinct p_name as name from part union select n_name from nation union select r_name from region union select c_mktsegment from customer"
+_query(
+    "naming_convention",
+    f"select name, case when regexp_full_match(name,'[a-z][a-z0-9_]*') then 'snake_case' when regexp_full_match(name,'[a-z][a-z0-9-]*') then 'kebab-case' when regexp_full_match(name,'[A-Z][a-zA-Z0-9]*') then 'PascalCase' when regexp_full_match(name,'[a-z][a-zA-Z0-9]*') then 'camelCase' else 'mixed' end as naming from ({_NAMES}) t",
+)(lambda s, d: _names(s, d).select("name", classify.naming(F.col("name")).alias("naming")))
+
+
+def _names(spark, sf_dir):
+    read = lambda t, c: spark.read.parquet(f"{sf_dir}/{t}.parquet").select(F.col(c).alias("name"))
+    return read("part", "p_name").union(read("nation", "n_name")).union(read("region", "r_name")).union(read("customer", "c_mktsegment")).distinct()
+
+
+_query("layer_by_purpose_fuzzy")(lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_type").distinct().select(F.lower("p_type").alias("purpose"), classify.layer_by_purpose(F.concat(F.lit("servce "), "p_type")).alias("layer")))
+_query(
+    "analyze_summary",
+    _with("ends", "entities") + f"select concat('out:',etype) as metric, count(distinct target) as n from ends where src_mod='{PART}' and dst_mod<>'{PART}' group by etype union all select concat('in:', case when etype='imports' then 'imports' else 'refs' end), count(distinct src_mod) from ends where dst_mod='{PART}' and src_mod<>'{PART}' group by 1 union all select 'entities', count(*) from entities where module='{PART}'",
+)(lambda s, d: policy.analyze_summary(P.graph(s, d), PART))
+_query("analyze_dependents", _with("ends") + f"select distinct src_mod as module, case when etype='imports' then 'imports' else 'refs' end as relation from ends where dst_mod='{SUPPLIER}' and src_mod<>'{SUPPLIER}'")(lambda s, d: policy.analyze_dependents(P.graph(s, d), SUPPLIER))
+_query("import_layers", _with("ends", "layered") + f"select distinct e.dst_mod as module, l.layer from ends e left join layered l on l.module=e.dst_mod where e.src_mod='{NATION}' and e.etype='imports' and e.dst_mod<>'{NATION}'")(lambda s, d: policy.import_layers(P.graph(s, d), NATION))
+_query("id_collisions", _with("modules") + "select stem as module, count(distinct path) as n_paths from (select regexp_replace(module,'_[0-9]$','') as stem, path from modules) t group by stem having count(distinct path)>1")(lambda s, d: policy.id_collisions(P.modules(s, d).withColumn("module", F.regexp_replace("module", "_[0-9]$", ""))))
+_query("incremental_changed", "select concat('d',doc_id) as path, md5(text) as content_hash from documents where doc_id%3=0 or lang='fr'")(
+    lambda s, d: policy.changed(_hashed(s, d), _hashed(s, d, "not (doc_id % 3 = 0 or lang = 'fr')"))
+)
+
+
+def _hashed(spark, sf_dir, where="true"):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter(where)
+    return docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.md5(F.col("text").cast("binary")).alias("content_hash"))
+
+
+# Set algebra and the query language.
+_DEPENDENTS = "select distinct src_mod as module from neighbors where dst_mod='wh/infra/supplier_{}'"
+for _name, _op, _word in (("set_intersect", "intersect", "intersect"), ("set_union", "union", "union"), ("set_diff", "diff", "except")):
+    _query(_name, _with("neighbors") + _DEPENDENTS.format(3) + f" {_word} " + _DEPENDENTS.format(4))(lambda s, d, op=_op: sexpr.query(P.graph(s, d), f'({op} (dependents "wh/infra/supplier_3") (dependents "wh/infra/supplier_4"))'))
+_query("set_filter", _with("neighbors") + f"select module from ({_DEPENDENTS.format(3)}) t where lower(module) like '%part!_1%' escape '!'")(lambda s, d: sexpr.query(P.graph(s, d), '(filter (dependents "wh/infra/supplier_3") "part_1")'))
+_query("set_count", _with("neighbors") + f"select count(*) as n from ({_DEPENDENTS.format(3)}) t")(lambda s, d: sexpr.query(P.graph(s, d), '(count (dependents "wh/infra/supplier_3"))'))
+_query("sexpr_nested", _with("neighbors", "modules") + f"select distinct m.path from (select module from ({_DEPENDENTS.format(3)}) a union select module from ({_DEPENDENTS.format(4)}) b) t join modules m on m.module=t.module where m.path like '%part%'")(
+    lambda s, d: sexpr.query(P.graph(s, d), '(files (filter (union (dependents "wh/infra/supplier_3") (dependents "wh/infra/supplier_4")) "part"))')
+)
+_query("sexpr_layer", _with("layered") + "select layer from layered where module='wh/domain/nation_3'")(lambda s, d: sexpr.query(P.graph(s, d), '(layer "wh/domain/nation_3")'))
+_query("sexpr_boundary", _with("neighbors") + f"select '{PART}' as module union select dst_mod from neighbors where src_mod='{PART}' union select src_mod from neighbors where dst_mod='{PART}'")(lambda s, d: sexpr.query(P.graph(s, d), f'(boundary "{PART}")'))
+
+# Lines and intervals. Every tenth line of a document starts an entity.
+_STARTS = "select doc_id, concat('fn', line_no) as name, line_no from lines where line_no%10=1"
+
+
+def _files(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
+
+
+def _starts(spark, sf_dir):
+    n = F.size(F.split("content", "\n"))
+    rows = _files(spark, sf_dir).select("path", F.explode(F.sequence(F.lit(1), n, F.lit(10))).alias("line"))
+    return rows.select("path", F.concat(F.lit("fn"), F.col("line").cast("string")).alias("name"), "line")
+
+
+_query("grep_lines", _with("lines") + "select concat('d',doc_id) as path, concat('fn', ((line_no-1)//10)*10+1) as name, cast(line_no as int) as line_no, line from lines where lower(line) like '%that%the%' escape '!'")(lambda s, d: ranges.grep(_files(s, d), _starts(s, d), "that.*the"))
+_query(
+    "enclosing_entity_asof",
+    _with("lines") + "select concat('d',doc_id) as path, line_no*7 as ref_id, cast(line_no as int) as ref_line, concat('fn', ((line_no-1)//10)*10+1) as name from lines where line_no%7=0",
+)(lambda s, d: ranges.enclosing(ranges.source_lines(_files(s, d)).filter("line_no % 7 = 0").select("path", (F.col("line_no") * 7).alias("ref_id"), F.col("line_no").alias("ref_line")), _starts(s, d)))
+_query(
+    "diff_overlap",
+    _with("lines", recursive=f"starts as ({_STARTS}), bodies as (select doc_id, name, line_no as a, coalesce(lead(line_no) over (partition by doc_id order by line_no)-1, line_no+200) as b from starts)") + "select distinct concat('d',doc_id) as path, name, cast(a as int) as line from bodies where a<=doc_id%40+3 and b>=doc_id%40+1",
+)(
+    lambda s, d: ranges.changed_entities(
+        s.read.parquet(f"{d}/documents.parquet").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), (F.col("doc_id") % 40 + 1).cast("int").alias("start"), (F.col("doc_id") % 40 + 3).cast("int").alias("end")), _starts(s, d)
+    )
+)
+
+# Edge builders.
+_query(
+    "import_edges_relations",
+    "select concat('p',l_partkey) as source, concat('s',l_suppkey) as target, string_agg(distinct l_returnflag, ',' order by l_returnflag) as relations, l_suppkey%5=0 as via_base from lineitem group by l_partkey, l_suppkey",
+)(lambda s, d: _import_edges(s, d))
+
+
+def _import_edges(spark, sf_dir):
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    resolved = line.select(name("p", "l_partkey").alias("source"), name("s", "l_suppkey").alias("target"), F.col("l_returnflag").alias("relation"))
+    abstract = line.filter("l_suppkey % 5 = 0").select(name("s", "l_suppkey").alias("module")).distinct()
+    return E.import_edges(resolved, abstract).select("source", "target", F.array_join("relations", ",").alias("relations"), "via_base")
+
+
+_query("provider_unique", "select p_name as symbol, min(concat('p',p_partkey)) as module from part group by p_name having count(distinct p_partkey)=1")(
+    lambda s, d: E.unique_providers(s.read.parquet(f"{d}/part.parquet").select(F.col("p_name").alias("symbol"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("module")))
+)
+_ASKED = "select distinct concat('o',l_orderkey) as source, concat('t',l_suppkey%50) as symbol from lineitem where l_linenumber<=2"
+_query(
+    "calls_api_edges",
+    f"with asked as ({_ASKED}), imp as (select source, symbol, t from (select concat('o',l_orderkey) as source, concat('t',l_suppkey%50) as symbol, case when l_returnflag='N' then null else concat('m',l_partkey%9) end as t, row_number() over (partition by l_orderkey, l_suppkey%50 order by l_linenumber, l_partkey, l_suppkey) as r from lineitem where l_linenumber=1) x where r=1), "
+    "prov as (select symbol, min(module) as module from (select distinct concat('t',s_suppkey%50) as symbol, concat('m',s_nationkey) as module from supplier) y group by symbol having count(*)=1) "
+    "select distinct a.source, coalesce(case when i.source is not null then i.t end, case when i.source is null then p.module end) as target from asked a left join imp i on i.source=a.source and i.symbol=a.symbol left join prov p on p.symbol=a.symbol where case when i.source is not null then i.t else p.module end is not null",
+)(lambda s, d: _api_edges(s, d))
+
+
+def _api_edges(spark, sf_dir):
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    keyed = line.select(text("o", F.col("l_orderkey")).alias("source"), text("t", F.col("l_suppkey") % 50).alias("symbol"), "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    imports = keyed.filter("l_linenumber = 1").select("source", "symbol", F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("ord"), F.when(F.col("l_returnflag") == "N", None).otherwise(text("m", F.col("l_partkey") % 9)).alias("target"))
+    candidates = supplier.select(text("t", F.col("s_suppkey") % 50).alias("symbol"), text("m", F.col("s_nationkey")).alias("module")).distinct()
+    return E.api_edges(E.resolve_symbols(keyed.filter("l_linenumber <= 2"), imports, candidates))
+
+
+_query("data_flow_edges", "select distinct concat('o',l_orderkey) as source, concat('p',l_partkey) as target from lineitem join part on p_partkey=l_partkey where p_size>40")(
+    lambda s, d: E.data_flow_edges(
+        s.read.parquet(f"{d}/lineitem.parquet").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("source"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target")),
+        s.read.parquet(f"{d}/part.parquet").filter("p_size > 40").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("module")),
+    )
+)
+_query(
+    "reference_target_tiers",
+    "with e as (select concat('b',p_brand) as target, p_name as name, p_partkey from part), q as (select distinct concat('b',b.p_brand) as target, n.p_name as original from (select distinct p_brand from part) b cross join (select distinct p_name from part) n) "
+    "select q.target, q.original, q.original as local, q.original as entity from q join e on e.target=q.target and e.name=q.original group by q.target, q.original having count(*)=1",
+)(lambda s, d: _tiers(s, d))
+
+
+def _tiers(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    own = part.select(F.concat(F.lit("b"), "p_brand").alias("module"), F.col("p_name").alias("name"))
+    brands = part.select(F.concat(F.lit("b"), "p_brand").alias("target")).distinct()
+    asked = brands.join(F.broadcast(part.select(F.col("p_name").alias("original"), F.col("p_name").alias("local")).distinct()), F.lit(True))
+    none = own.limit(0).select("module", "name", F.lit(0).alias("ord"))
+    return E.target_entities(asked, own, none)
+
+
+_query(
+    "http_call_prefix_join",
+    "with c as (select concat('p',p_partkey) as module, p_brand as repo, lower(split_part(p_name,' ',1)) as k, concat(split_part(p_name,' ',1),'Client') as name from part), r as (select distinct split_part(p_name,' ',2) as repo from part union select distinct split_part(p_name,' ',1) from part) "
+    "select module as source, target, min(name) as client from (select c.module, c.name, min(r.repo) as target from c join r on starts_with(c.k, lower(r.repo)) or starts_with(lower(r.repo), c.k) where r.repo<>c.repo group by 1,2) t group by 1,2",
+)(lambda s, d: _http(s, d))
+
+
+def _http(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    word = lambda n: F.split_part(F.col("p_name"), F.lit(" "), F.lit(n))
+    clients = part.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("module"), F.col("p_brand").alias("repo"), F.concat(word(1), F.lit("Client")).alias("name"))
+    return E.http_edges(clients, part.select(word(1).alias("repo")).union(part.select(word(2))).distinct())
+
+
+_query(
+    "lsp_merge_outer",
+    "with a as (select distinct concat('o',l_orderkey) as source, concat('p',l_partkey) as target from lineitem where l_linenumber<=3), b as (select distinct concat('o',l_orderkey) as source, concat('p',l_partkey) as target from lineitem where l_linenumber>=3) "
+    "select coalesce(a.source,b.source) as source, coalesce(a.target,b.target) as target, 'calls' as etype, b.source is not null as lsp from a full join b on a.source=b.source and a.target=b.target",
+)(lambda s, d: E.merge_verified(_order_parts(s, d, "l_linenumber <= 3"), _order_parts(s, d, "l_linenumber >= 3")))
+
+
+def _order_parts(spark, sf_dir, where):
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter(where)
+    return line.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("source"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target"), F.lit("calls").alias("etype"))
+
+
+_query("short_ids", _with("modules") + "select module, concat(lower(substr(pkg,1,2)), row_number() over (partition by pkg order by module)-1) as sid, pkg from modules where lang='ts'")(lambda s, d: E.short_ids(P.modules(s, d).filter("lang = 'ts'")))
+
+# Infrastructure.
+_ENV = "select distinct concat(upper(replace(p_name,' ','_')), case p_size%4 when 0 then '_HOST' when 1 then '_URL' when 2 then '_SERVICE_HOST' else '_PORT' end) as env from part union select 'DATABASE_URL' union select 'REDIS_URI' union select 'NATS_URL' union select 'S3_ENDPOINT_X'"
+_query(
+    "infra_env_deps",
+    f"select env, case when env='DATABASE_URL' then 'postgres' when env='REDIS_URI' then 'redis' when env='NATS_URL' then 'nats' when env='S3_ENDPOINT_X' then 'minio' when env like '%!_HOST' escape '!' then lower(replace(regexp_replace(env,'_HOST$',''),'_','-')) else lower(replace(regexp_replace(env,'_URL$',''),'_','-')) end as dep, case when env in ('DATABASE_URL','REDIS_URI','NATS_URL') then 'tcp' else 'http' end as transport from ({_ENV}) t where not env like '%!_PORT' escape '!'",
+)(lambda s, d: _env_deps(s, d))
+
+
+def _env_deps(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    tail = F.element_at(F.array(*map(F.lit, ("_HOST", "_URL", "_SERVICE_HOST", "_PORT"))), F.col("p_size") % 4 + 1)
+    names = part.select(F.concat(F.upper(F.replace(F.col("p_name"), F.lit(" "), F.lit("_"))), tail).alias("env"))
+    more = spark.createDataFrame([("DATABASE_URL",), ("REDIS_URI",), ("NATS_URL",), ("S3_ENDPOINT_X",)], "env string")
+    dep = infra.env_dependency(F.col("env"))
+    return names.union(more).distinct().select("env", dep["dep"].alias("dep"), dep["transport"].alias("transport")).filter("dep is not null")
+
+
+_query("infra_image_base", "select distinct concat('reg.io/', lower(replace(p_brand,'#','')), '/', replace(p_name,' ','-'), ':v', p_size) as image, replace(p_name,' ','-') as base from part")(
+    lambda s, d: s.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("reg.io/"), F.lower(F.replace(F.col("p_brand"), F.lit("#"), F.lit(""))), F.lit("/"), F.replace(F.col("p_name"), F.lit(" "), F.lit("-")), F.lit(":v"), F.col("p_size").cast("string")).alias("image")).distinct().select("image", infra.image_base(F.col("image")).alias("base"))
+)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _QUERIES["boundary"](spark, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
