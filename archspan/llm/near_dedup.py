@@ -2,9 +2,10 @@
 
 Shingles are five words (lower-cased A-Z, cut at ASCII punctuation). A shingle's
 weight in a document is (1 + ln tf) times an inverse document frequency between
-1 and 1.25: 1 + 0.25 * min(ln(N / df), ln 256) / ln 256. The narrow range keeps two
+1 and 1.05: 1 + 0.05 * min(ln(N / df), ln 256) / ln 256. The narrow range keeps two
 near copies of a group that holds a third of the table as similar as two of a
-pair, where an unbounded idf would let their rare differences outweigh all that they share.
+pair, where a wide idf lets their rare differences outweigh all that they share
+(with a range of 1.25, copies of a large group at 0.81 fell below the threshold).
 
 1. Document frequencies: every task adds its documents to a count-min sketch of
    fixed size; sketches are summed part by part as streams. A document adds
@@ -14,11 +15,14 @@ pair, where an unbounded idf would let their rare differences outweigh all that
    counter each and meet in a map-side combine.
 3. Samples: ``BANDS * ROWS`` improved consistent weighted samples a text, hashed in
    bands. Texts that share a band form a bucket. All members of a bucket are
-   compared with two leaders of it: the text that shares most buckets with others
-   (the original among its edited copies) and the least in a fixed random
-   order. Work is linear in bucket members: no bucket is expanded into pairs.
+   compared with two leaders of it, both likely to be the original among its
+   edited copies, whose copies need not be alike: the text whose shingles are most
+   frequent (an edit makes rare ones; tells in large groups), and the text that shares
+   most buckets with others (tells in small ones). Work is linear in bucket
+   members: no bucket is expanded into pairs.
 4. Verification: exact weighted Jaccard of the two whole texts, at least ``SIMILARITY``.
-   Texts left without a link are banded once more among themselves.
+   Texts left without a link are banded once more with fresh samples, together
+   with the texts that have several links.
 5. Classes: connected components of the links by least labels with pointer
    jumping; each step is a written table.
 
@@ -47,7 +51,9 @@ ROUNDS = 2
 #: Count-min sketch of document frequencies.
 SKETCH_ROWS, SKETCH_BITS = 2, 20
 PARTS = 16
-CLIP, LIFT = 256.0, 0.25
+CLIP, LIFT = 256.0, 0.05
+#: Links from which a text is a hub.
+HUB = 3
 GROUP_BYTES = 1 << 19
 U = np.uint64
 
@@ -60,8 +66,8 @@ def _key(text="text"):
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
-def frequency_weights(docs: DataFrame) -> np.ndarray:
-    """idf factor of every counter, as float32 of shape (SKETCH_ROWS, 2**SKETCH_BITS)."""
+def frequencies(docs: DataFrame) -> np.ndarray:
+    """ln(N / df) of every counter, as float32 of shape (SKETCH_ROWS, 2**SKETCH_BITS)."""
     size = 1 << SKETCH_BITS
     step = size // PARTS
 
@@ -91,21 +97,25 @@ def frequency_weights(docs: DataFrame) -> np.ndarray:
                 seen[part] = seen.get(part, 0) + n
         for part, total in sums.items():
             idf = np.log(np.maximum(seen[part], 1) / np.maximum(total, 1))
-            factor = 1 + LIFT * np.clip(idf, 0, np.log(CLIP)) / np.log(CLIP)
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([factor.astype(np.float32).tobytes()], pa.binary())], names=["part", "factor"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([idf.astype(np.float32).tobytes()], pa.binary())], names=["part", "idf"])
 
     sketches = docs.select("text").mapInArrow(count, "part int, n long, counts binary")
-    parts = sketches.repartition(SKETCH_ROWS * PARTS, "part").mapInArrow(add, "part int, factor binary")
-    out = np.full((SKETCH_ROWS * PARTS, step), 1 + LIFT, np.float32)
-    for part, factor in parts.collect():  # 8 MB at any input size
-        out[part] = np.frombuffer(factor, np.float32)
+    parts = sketches.repartition(SKETCH_ROWS * PARTS, "part").mapInArrow(add, "part int, idf binary")
+    out = np.zeros((SKETCH_ROWS * PARTS, step), np.float32)
+    for part, idf in parts.collect():  # 8 MB at any input size
+        out[part] = np.frombuffer(idf, np.float32)
     return out.reshape(SKETCH_ROWS, size)
 
 
-def _weights(shingle: np.ndarray, count: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    factor = factors[0][_slots(shingle, 0)]
-    for row in range(1, SKETCH_ROWS):  # the least df is the largest factor
-        factor = np.maximum(factor, factors[row][_slots(shingle, row)])
+def _idf(shingle: np.ndarray, table: np.ndarray) -> np.ndarray:
+    idf = table[0][_slots(shingle, 0)]
+    for row in range(1, SKETCH_ROWS):  # the least df is the best estimate
+        idf = np.maximum(idf, table[row][_slots(shingle, row)])
+    return idf
+
+
+def _weights(count: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    factor = 1 + LIFT / np.log(CLIP) * np.clip(idf, 0, np.log(CLIP))
     return ((1 + np.log(count)) * factor).astype(np.float32)
 
 
@@ -131,18 +141,21 @@ def weighted_samples(shingle: np.ndarray, weight: np.ndarray, starts: np.ndarray
     return textbytes.mix(shingle[at] * textbytes._ODD[42] + t[at].astype(np.int64).astype(U) * textbytes._ODD[43] + seed)
 
 
-def _bands(column: pa.Array, factors: np.ndarray, turn: int) -> pa.Array:
-    """Band hashes of every text; null for texts without a word."""
+def _bands(column: pa.Array, table: np.ndarray, turn: int) -> tuple[pa.Array, pa.Array]:
+    """Band hashes of every text (null for texts without a word), and how frequent its shingles are."""
     out = np.zeros((len(column), BANDS), U)
     has = np.zeros(len(column), bool)
+    common = np.zeros(len(column))
     for lo, _, data, offsets in textbytes.groups(column, GROUP_BYTES):
         doc, shingle, count = textbytes.shingles(data, offsets, WIDTH)
         if not len(doc):
             continue
-        weight = _weights(shingle, count, factors)
+        idf = _idf(shingle, table)
+        weight = _weights(count, idf)
         starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
         rows = lo + doc[starts]
         has[rows] = True
+        common[rows] = -np.add.reduceat(idf.astype(np.float64), starts) / np.diff(np.r_[starts, len(doc)])
         for band in range(BANDS):
             h = np.full(len(rows), band + 1, U) * textbytes._ODD[44]
             for j in range(ROWS):
@@ -150,22 +163,22 @@ def _bands(column: pa.Array, factors: np.ndarray, turn: int) -> pa.Array:
             out[rows, band] = h
     values = pa.array(out.view(np.int64).ravel())
     flat = pa.FixedSizeListArray.from_arrays(values, BANDS).cast(pa.list_(pa.int64()))
-    return pa.compute.if_else(pa.array(has), flat, pa.scalar(None, flat.type))
+    return pa.compute.if_else(pa.array(has), flat, pa.scalar(None, flat.type)), pa.array(common)
 
 
-def banded(rows: DataFrame, factors, turn: int) -> DataFrame:
-    """Columns other than text, and ``bands``."""
+def banded(rows: DataFrame, table, turn: int) -> DataFrame:
+    """Columns other than text, and ``bands`` and ``common``."""
     kept = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bands = _bands(batch.column(batch.schema.get_field_index("text")), factors.value, turn)
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], bands], names=[*kept, "bands"])
+            made = _bands(batch.column(batch.schema.get_field_index("text")), table.value, turn)
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], *made], names=[*kept, "bands", "common"])
 
-    return rows.mapInArrow(run, rows.select(*kept).schema.add("bands", T.ArrayType(T.LongType())))
+    return rows.mapInArrow(run, rows.select(*kept).schema.add("bands", T.ArrayType(T.LongType())).add("common", T.DoubleType()))
 
 
-def similarity(left: pa.Array, right: pa.Array, factors: np.ndarray) -> np.ndarray:
+def similarity(left: pa.Array, right: pa.Array, table: np.ndarray) -> np.ndarray:
     """Weighted Jaccard similarity of texts row by row; 0 if either has no word."""
     out = np.zeros(len(left))
     sizes = pa.compute.fill_null(pa.compute.binary_length(left), 0).to_numpy(zero_copy_only=False) + pa.compute.fill_null(pa.compute.binary_length(right), 0).to_numpy(zero_copy_only=False)
@@ -178,7 +191,7 @@ def similarity(left: pa.Array, right: pa.Array, factors: np.ndarray) -> np.ndarr
             parts = []
             for at, _, data, offsets in textbytes.groups(column.slice(lo, hi - lo), 1 << 62):
                 doc, shingle, count = textbytes.shingles(data, offsets, WIDTH)
-                parts.append(((doc + at).astype(U) << U(52) | shingle, _weights(shingle, count, factors).astype(np.float64)))
+                parts.append(((doc + at).astype(U) << U(52) | shingle, _weights(count, _idf(shingle, table)).astype(np.float64)))
             sides.append([np.concatenate(x) for x in zip(*parts, strict=True)])
         (ka, wa), (kb, wb) = sides
         total = np.bincount((ka >> U(52)).astype(np.int64), wa, hi - lo) + np.bincount((kb >> U(52)).astype(np.int64), wb, hi - lo)
@@ -191,15 +204,12 @@ def similarity(left: pa.Array, right: pa.Array, factors: np.ndarray) -> np.ndarr
 
 def _pairs(texts: DataFrame, scratch: Scratch, turn: int) -> DataFrame:
     """Distinct (a, b), a < b, of bucket members and the two leaders of their bucket."""
-    flat = texts.filter("bands is not null").select("tkey", F.explode("bands").alias("band"))
+    flat = texts.filter("bands is not null").select("tkey", "common", F.explode("bands").alias("band"))
     sizes = flat.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = scratch.write(flat.join(sizes, "band"), f"members{turn}")
     score = members.groupBy("tkey").agg(F.sum("size").alias("score"))
-    scored = members.select("band", "tkey").join(score, "tkey")
-    leaders = scored.groupBy("band").agg(
-        F.max(F.struct("score", "tkey"))["tkey"].alias("first"),
-        F.min(F.struct(F.xxhash64("tkey").alias("h"), "tkey"))["tkey"].alias("second"),
-    )
+    scored = members.select("band", "tkey", "common").join(score, "tkey")
+    leaders = scored.groupBy("band").agg(F.max(F.struct("common", "score", "tkey"))["tkey"].alias("first"), F.max(F.struct("score", "common", "tkey"))["tkey"].alias("second"))
     return (
         members.join(leaders, "band")
         .select("tkey", F.explode(F.array("first", "second")).alias("leader"))
@@ -215,13 +225,13 @@ def _fetch(docs: DataFrame, keys: DataFrame, n: int, scratch: Scratch, name: str
     return scratch.write(found.groupBy("tkey").agg(F.first("text").alias("text")), name)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, factors) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, table) -> DataFrame:
     left = texts.select(F.col("tkey").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("tkey").alias("b"), F.col("text").alias("text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = similarity(batch.column(2), batch.column(3), factors.value)
+            s = similarity(batch.column(2), batch.column(3), table.value)
             near = pa.array(s >= SIMILARITY)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near), pa.array(s[s >= SIMILARITY])], names=["a", "b", "similarity"])
 
@@ -256,10 +266,10 @@ def _resolve(df: DataFrame) -> tuple[Scratch, DataFrame, DataFrame, DataFrame]:
     ship(spark)
     scratch = Scratch(spark)
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    factors = spark.sparkContext.broadcast(frequency_weights(docs))
+    table = spark.sparkContext.broadcast(frequencies(docs))
     keyed = docs.withColumn("tkey", _key())
-    signed = scratch.write(banded(keyed, factors, 0), "signed")
-    texts = scratch.write(signed.groupBy("tkey").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "texts")
+    signed = scratch.write(banded(keyed, table, 0), "signed")
+    texts = scratch.write(signed.groupBy("tkey").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("common").alias("common")), "texts")
     links, active = None, texts
     for turn in range(ROUNDS):
         pairs = scratch.write(_pairs(active, scratch, turn), f"pairs{turn}")
@@ -270,21 +280,25 @@ def _resolve(df: DataFrame) -> tuple[Scratch, DataFrame, DataFrame, DataFrame]:
             if not n:
                 break
             fetched = _fetch(keyed, keys, n, scratch, f"fetched{turn}")
-            found = scratch.write(_verified(pairs, fetched, factors), f"links{turn}")
+            found = scratch.write(_verified(pairs, fetched, table), f"links{turn}")
             links = found if links is None else links.unionByName(found)
         else:
             break
         if turn + 1 < ROUNDS:
-            linked = found.select(F.explode(F.array("a", "b")).alias("tkey")).distinct()
-            left = fetched.join(linked, "tkey", "left_anti")
-            active = scratch.write(banded(left, factors, turn + 1), f"active{turn}")
+            degree = found.select(F.explode(F.array("a", "b")).alias("tkey")).groupBy("tkey").agg(F.count(F.lit(1)).alias("n"))
+            left = fetched.join(degree.filter(F.col("n") < HUB), "tkey", "left_anti")
+            active = scratch.write(banded(left, table, turn + 1), f"active{turn}")
     if links is None:
         links = spark.createDataFrame([], "a binary, b binary, similarity double")
     labels = components(links, scratch)
     n_labels = labels.count()
     joined = texts.select("tkey", "first_id", "copies").join(small(labels.withColumnRenamed("node", "tkey"), n_labels), "tkey", "left")
-    classes = joined.withColumn("label", F.coalesce("label", "tkey"))
-    return scratch, signed.select("doc_id", "tkey"), scratch.write(classes, "classes"), links
+    classes = scratch.write(joined.withColumn("label", F.coalesce("label", "tkey")), "classes")
+    for turn in range(ROUNDS):
+        for name in ("members", "pairs", "keys", "fetched", "active"):
+            scratch.drop(f"{name}{turn}")
+    scratch.drop("texts")
+    return scratch, signed.select("doc_id", "tkey"), classes, links
 
 
 def classes(df: DataFrame) -> DataFrame:

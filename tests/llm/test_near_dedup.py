@@ -27,7 +27,7 @@ def plain_similarity(a, b, factors):
     def weights(text):
         _, _, data, offsets = next(textbytes.groups(pa.array([text]), 1 << 30))
         _, s, c = textbytes.shingles(data, offsets)
-        return dict(zip(s.tolist(), near_dedup._weights(s, c, factors).tolist(), strict=True))
+        return dict(zip(s.tolist(), near_dedup._weights(c, near_dedup._idf(s, factors)).tolist(), strict=True))
 
     x, y = weights(a), weights(b)
     low = sum(min(x[k], y[k]) for k in x.keys() & y.keys())
@@ -36,7 +36,7 @@ def plain_similarity(a, b, factors):
 
 def test_similarity_and_sampling_agree():
     rng = random.Random(2)
-    factors = np.random.default_rng(1).uniform(1, 1.25, (2, 1 << near_dedup.SKETCH_BITS)).astype(np.float32)
+    factors = np.random.default_rng(1).uniform(0, 9, (2, 1 << near_dedup.SKETCH_BITS)).astype(np.float32)
     base = prose(rng, 300).split()
     other = base[:]
     for i in range(0, 300, 37):
@@ -46,7 +46,7 @@ def test_similarity_and_sampling_agree():
     assert near_dedup.similarity(pa.array([a, a, "", None]), pa.array([b, a, "", a]), factors) == pytest.approx([want, 1.0, 0.0, 0.0], abs=1e-5)
     _, _, data, offsets = next(textbytes.groups(pa.array([a, b]), 1 << 30))
     doc, s, c = textbytes.shingles(data, offsets)
-    w = near_dedup._weights(s, c, factors)
+    w = near_dedup._weights(c, near_dedup._idf(s, factors))
     starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     same = np.mean([len(set(near_dedup.weighted_samples(s, w, starts, k).tolist())) == 1 for k in range(1500)])
     assert same == pytest.approx(want, abs=0.05)
@@ -99,6 +99,22 @@ def test_classes_equal_brute_force(spark):
     assert all(r["class_docs"] == len(by[r["class_id"]]) for r in got)
 
 
+def test_original_gathers_copies_that_are_unlike_each_other(spark):
+    # Three edits in 150 words: 0.81 to the original, about 0.69 among the copies.
+    rng = random.Random(13)
+    base = prose(rng, 150).split()
+    rows = [(0, " ".join(base), "en", "s", 1)]
+    for k in range(1, 400):
+        words = base[:]
+        for spot in rng.sample(range(8, 142, 12), 3):
+            words[spot] = f"edit{k}x{spot}"
+        rows.append((k, " ".join(words), "en", "s", 1))
+    rows += [(1000 + i, prose(rng, 120), "en", "s", 1) for i in range(50)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(documents(spark, rows)).collect()}
+    assert sum(got[k] == 0 for k in range(400)) >= 399
+    assert all(got[1000 + i] == 1000 + i for i in range(50))
+
+
 def test_one_row_of_each_class_stays(spark):
     rows = near_copies()
     rows += [rows[0], rows[0], (None, rows[5][1], None, None, None), (None, prose(random.Random(1), 80), None, None, None)]
