@@ -87,7 +87,7 @@ class Scratch:
         context = spark.sparkContext
         folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            if not context.master.startswith("local["):
+            if context.master != "local" and not context.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="archspan-")
         self.folder = f"{folder.rstrip('/')}/scratch-{uuid.uuid4().hex}"

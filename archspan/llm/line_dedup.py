@@ -173,7 +173,10 @@ def recurring_lines(df: DataFrame, scratch: Scratch) -> DataFrame:
     each = found.groupBy("t", "_k").agg(F.min(place).alias("first"))
     recurring = scratch.write(each.groupBy("t").agg(F.count(F.lit(1)).alias("docs"), F.min("first").alias("first")).filter(F.col("docs") >= MIN_DOCS), "recurring")
     out = found.join(small(recurring, recurring.count()), "t").filter((F.col("_k") != F.col("first._k")) | (F.col("line") != F.col("first.line")))
-    return scratch.write(out.groupBy("_k").agg(F.sort_array(F.collect_set("line")).alias("dropped")), "dropped")
+    done = scratch.write(out.groupBy("_k").agg(F.sort_array(F.collect_set("line")).alias("dropped")), "dropped")
+    for name in ("lines", "kinds", "leaves", "templates", "named", "recurring"):
+        scratch.drop(name)
+    return done
 
 
 def marked(df: DataFrame) -> DataFrame:

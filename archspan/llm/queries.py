@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_dedup, mixing, near_dedup, quality_model, quality_rules, secret_scan, sharding, token_count
+from . import chat, decontaminate, line_dedup, mixing, near_dedup, oracles, quality_model, quality_rules, secret_scan, sharding, token_count
 from .common import table, utf8_bytes
 
 SHARDS = 24
@@ -91,4 +91,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
