@@ -156,6 +156,11 @@ def entity_uid(module: Column, name: Column) -> Column:
     return F.substring(F.sha1(F.concat(module, F.lit("::"), name)), 1, 8)
 
 
+def column_of(name: Column, line: Column) -> Column:
+    """Place of a name on its line, from 0; 0 if it is not there."""
+    return F.greatest(F.instr(line, name) - 1, F.lit(0))
+
+
 def kebab(name: Column) -> Column:
     return F.lower(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1-$2"))
 

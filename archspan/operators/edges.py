@@ -119,7 +119,49 @@ def merge_verified(edges: DataFrame, verified: DataFrame) -> DataFrame:
     return both.select(*key, F.coalesce("_new", F.lit(False)).alias("lsp"))
 
 
+def prefixes(repos: list[str]) -> dict[str, str]:
+    """A short prefix for each package, no two alike: initials of two parts, or two letters, and more letters as needed."""
+    out: dict[str, str] = {}
+    for repo in repos:
+        parts = repo.replace("-", " ").split()
+        base = parts[0][0] + parts[1][0] if len(parts) >= 2 else repo[:2]
+        taken, prefix, n = set(out.values()), base, 2
+        while prefix in taken:
+            prefix = base + (repo[n] if n < len(repo) else str(n))
+            n += 1
+        out[repo] = prefix
+    return out
+
+
 def short_ids(modules: DataFrame) -> DataFrame:
-    """(module, sid): two letters of the package and a number in id order."""
+    """(module, sid, pkg): the package's prefix and a number in id order.
+
+    Packages get prefixes in the order of their first module; there are few of them.
+    """
+    first = modules.groupBy("pkg").agg(F.min("module").alias("_m")).orderBy("_m").select("pkg").collect()
+    table = prefixes([r["pkg"] or "unknown" for r in first])
+    named = F.broadcast(modules.sparkSession.createDataFrame(list(table.items()), "_pkg string, _prefix string"))
     order = Window.partitionBy("pkg").orderBy("module")
-    return modules.select("module", F.concat(F.lower(F.substring("pkg", 1, 2)), (F.row_number().over(order) - 1).cast("string")).alias("sid"), "pkg")
+    rows = modules.select("module", "pkg", (F.row_number().over(order) - 1).alias("_n"))
+    return rows.join(named, F.coalesce("pkg", F.lit("unknown")) == F.col("_pkg")).select("module", F.concat("_prefix", F.col("_n").cast("string")).alias("sid"), "pkg")
+
+
+def call_edges(calls: DataFrame, paths: DataFrame) -> DataFrame:
+    """(source, target, lines) from a language server's calls (source, name, path, target_name, line); unknown files drop out."""
+    known = paths.select(F.col("path"), F.col("module").alias("_m"))
+    rows = calls.join(known, "path").select(F.concat_ws("::", "source", "name").alias("source"), F.concat_ws("::", "_m", "target_name").alias("target"), "line")
+    return rows.groupBy("source", "target").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+
+
+def merge_symbols(syntax: DataFrame, server: DataFrame) -> DataFrame:
+    """Entities (module, name, kind, line, bases, deco, methods) of a language server over those of the parser.
+
+    The server decides kind and line; lists that it lacks, and entities that it
+    missed in a module it reported, come from the parser.
+    """
+    key = ["module", "name"]
+    lists = ("bases", "deco", "methods")
+    old = syntax.select(*key, *[F.col(c).alias(f"_{c}") for c in ("kind", "line", *lists)])
+    both = server.join(old, key, "full")
+    filled = [F.when(F.coalesce(F.size(c), F.lit(0)) > 0, F.col(c)).otherwise(F.coalesce(f"_{c}", F.array().cast("array<string>"))).alias(c) for c in lists]
+    return both.select(*key, F.coalesce("kind", "_kind").alias("kind"), F.coalesce("line", "_line").alias("line"), *filled)

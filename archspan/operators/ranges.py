@@ -20,17 +20,16 @@ def grep(files: DataFrame, functions: DataFrame, pattern: str) -> DataFrame:
     """(path, name, line_no, line): matching lines inside bodies of functions (path, name, line).
 
     A body ends before the next function of its file, after ``GREP_BODY`` lines or
-    with the file. The interval test runs inside one row: bodies of a file meet
-    its lines without a join of every line with every body.
+    with the file. A file meets the list of its bodies once, and each body takes its
+    slice of the lines inside that row: no line is joined with every body.
     """
     order = Window.partitionBy("path").orderBy("line", "name")
     bodies = functions.filter("line >= 1").select("path", "name", "line", F.lead("line").over(order).alias("_next"))
-    bodies = bodies.withColumn("_end", F.least(F.coalesce(F.col("_next") - 1, F.lit(2**30)), F.col("line") + (GREP_BODY - 1)))
-    split = files.select("path", F.split("content", "\n").alias("_lines"))
-    # Each body takes its own slice of the file's lines.
-    taken = bodies.join(split, "path").filter(F.col("line") <= F.size("_lines"))
-    cut = F.slice("_lines", F.col("line"), F.greatest(F.col("_end") - F.col("line") + 1, F.lit(0)))
-    rows = taken.select("path", "name", F.col("line").alias("_start"), F.posexplode(cut).alias("_o", "text"))
+    size = F.least(F.coalesce(F.col("_next") - F.col("line"), F.lit(GREP_BODY)), F.lit(GREP_BODY))
+    listed = bodies.withColumn("size", size).groupBy("path").agg(F.collect_list(F.struct("name", "line", "size")).alias("_bodies"))
+    met = files.select("path", F.split("content", "\n").alias("_lines")).join(listed, "path")
+    taken = F.transform("_bodies", lambda b: F.struct(b["name"].alias("name"), b["line"].alias("start"), F.slice(F.col("_lines"), b["line"], b["size"]).alias("part")))
+    rows = met.select("path", F.explode(taken).alias("b")).select("path", F.col("b.name").alias("name"), F.col("b.start").alias("_start"), F.posexplode("b.part").alias("_o", "text"))
     return rows.filter(matches(F.col("text"), pattern)).select("path", "name", (F.col("_start") + F.col("_o")).alias("line_no"), F.col("text").alias("line"))
 
 

@@ -327,7 +327,7 @@ def _order_parts(spark, sf_dir, where):
     return line.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("source"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target"), F.lit("calls").alias("etype"))
 
 
-_query("short_ids", _with("modules") + "select module, concat(lower(substr(pkg,1,2)), row_number() over (partition by pkg order by module)-1) as sid, pkg from modules where lang='ts'")(lambda s, d: E.short_ids(P.modules(s, d).filter("lang = 'ts'")))
+_query("short_ids", _with("modules") + "select module, concat(case pkg when 'MIDDLE EAST' then 'ME' else substr(pkg,1,2) end, row_number() over (partition by pkg order by module)-1) as sid, pkg from modules where lang='py'")(lambda s, d: E.short_ids(P.modules(s, d).filter("lang = 'py'")))
 
 # Infrastructure.
 _ENV = "select distinct concat(upper(replace(p_name,' ','_')), case p_size%4 when 0 then '_HOST' when 1 then '_URL' when 2 then '_SERVICE_HOST' else '_PORT' end) as env from part union select 'DATABASE_URL' union select 'REDIS_URI' union select 'NATS_URL' union select 'S3_ENDPOINT_X'"

@@ -111,8 +111,10 @@ class Compiler:
         return self._reach(pattern, depth, True)
 
     def _beside(self, ids: DataFrame, reverse: bool) -> DataFrame:
-        near = self.graph.around(reverse)
-        return near.join(ids.select(F.col("module").alias("here")), "here", "left_semi").select(F.col("there").alias("module")).distinct()
+        # Straight from the edges: the few ids cut them down before anything is shuffled.
+        here, there = ("target", "source") if reverse else ("source", "target")
+        pairs = self.graph.edges.select(G.module_of(here).alias("here"), G.module_of(there).alias("module")).filter("here <> module")
+        return pairs.join(ids.select(F.col("module").alias("here")), "here", "left_semi").select("module").distinct()
 
     def _do_imports(self, pattern=""):
         return self._beside(self._ids(pattern), False)

@@ -148,6 +148,13 @@ def read_facts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).mapInPandas(run, FACT)
 
 
+def raw_facts(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, module, fact): lines of a map with the module that each begins with, in full."""
+    facts = read_facts(spark, path)
+    shown = F.concat(F.lit("("), F.concat_ws(" ", "kind", F.array_join("args", " "), F.array_join("flags", " ")), F.lit(")"))
+    return facts.select("line_no", F.substring_index(F.get("args", F.lit(0)), "::", 1).alias("module"), shown.alias("fact"))
+
+
 def read_map(spark: SparkSession, path: str) -> Graph:
     facts = read_facts(spark, path)
     arg = lambda n: F.get("args", F.lit(n))

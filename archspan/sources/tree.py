@@ -153,6 +153,27 @@ def with_repo(files: DataFrame, roots: DataFrame, default: str) -> DataFrame:
     return files.join(nearest, "path", "left").withColumn("repo", F.coalesce(F.substring_index("_top", "/", -1), F.lit(default))).drop("_top")
 
 
+# Files that make a directory a project of a language.
+PROJECT_FILES = {
+    "python": r"pyproject\.toml|setup\.py|setup\.cfg", "typescript": r"tsconfig\.json", "rust": r"Cargo\.toml", "csharp": r".*\.(?:csproj|sln)",
+    "java": r"pom\.xml|build\.gradle(?:\.kts)?", "go": r"go\.mod", "ruby": r"Gemfile", "pascal": r".*\.(?:lpi|dproj)",
+}
+
+
+def projects(files: DataFrame, configs: DataFrame) -> DataFrame:
+    """(path, language, project, config): the deepest project above each file, from config files (path)."""
+    name = F.substring_index("path", "/", -1)
+    top = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
+    found = None
+    for lang, pattern in PROJECT_FILES.items():
+        part = configs.filter(name.rlike(f"^(?:{pattern})$")).select(F.lit(lang).alias("_l"), top.alias("project"), F.col("path").alias("config"))
+        found = part if found is None else found.unionByName(part)
+    family = F.when(F.col("language") == "tsx", "typescript").otherwise(F.col("language"))
+    above = files.select("path", "language", family.alias("_l"), F.explode(F.array_distinct(F.concat(F.array(F.lit("")), _prefixes("path")))).alias("project")).join(found, ["_l", "project"])
+    best = above.groupBy("path", "language").agg(F.max_by(F.struct("project", "config"), F.struct(F.length("project"), "config")).alias("_b"))
+    return best.select("path", "language", "_b.project", "_b.config")
+
+
 def git_ignored(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
     """Paths that git would ignore, by the repository's own rules only; empty without git."""
     try:
