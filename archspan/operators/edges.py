@@ -139,11 +139,11 @@ def short_ids(modules: DataFrame) -> DataFrame:
     Packages get prefixes in the order of their first module; there are few of them.
     """
     first = modules.groupBy("pkg").agg(F.min("module").alias("_m")).orderBy("_m").select("pkg").collect()
-    table = prefixes([r["pkg"] or "unknown" for r in first])
+    table = prefixes(list(dict.fromkeys(r["pkg"] or "unknown" for r in first)))
     named = F.broadcast(modules.sparkSession.createDataFrame(list(table.items()), "_pkg string, _prefix string"))
     order = Window.partitionBy("pkg").orderBy("module")
     rows = modules.select("module", "pkg", (F.row_number().over(order) - 1).alias("_n"))
-    return rows.join(named, F.coalesce("pkg", F.lit("unknown")) == F.col("_pkg")).select("module", F.concat("_prefix", F.col("_n").cast("string")).alias("sid"), "pkg")
+    return rows.join(named, F.when(F.coalesce("pkg", F.lit("")) == "", "unknown").otherwise(F.col("pkg")) == F.col("_pkg")).select("module", F.concat("_prefix", F.col("_n").cast("string")).alias("sid"), "pkg")
 
 
 def call_edges(calls: DataFrame, paths: DataFrame) -> DataFrame:

@@ -40,6 +40,10 @@ class Graph:
     entities: DataFrame
     edges: DataFrame
 
+    def cached(self) -> Graph:
+        """The same graph with its edges kept by the executors, for edges that are computed and read many times."""
+        return Graph(self.modules, self.entities, self.edges.persist())
+
     @cached_property
     def ends(self) -> DataFrame:
         """Edges with the modules and bare entity names of both ends."""
@@ -51,6 +55,12 @@ class Graph:
         pairs = self.edges.select(module_of("source").alias("src_mod"), module_of("target").alias("dst_mod"), "etype")
         return pairs.filter("src_mod <> dst_mod").groupBy("src_mod", "dst_mod").agg(F.min("etype").alias("via"))
 
+    def steps(self, reverse: bool = False) -> DataFrame:
+        """(here, there, via) of every edge between modules, pairs repeated as edges are."""
+        here, there = ("target", "source") if reverse else ("source", "target")
+        pairs = self.edges.select(module_of(here).alias("here"), module_of(there).alias("there"), F.col("etype").alias("via"))
+        return pairs.filter("here <> there")
+
     def around(self, reverse: bool = False) -> DataFrame:
         """(here, there, via) along the edges, or against them."""
         here, there = ("dst_mod", "src_mod") if reverse else ("src_mod", "dst_mod")
@@ -64,11 +74,9 @@ def hops(graph: Graph, roots: DataFrame, depth: int, reverse: bool = False) -> D
     that reach the module at that distance. Frontiers are expanded together for all roots.
     """
     spark = roots.sparkSession
-    near = graph.around(reverse)
-    scratch = None
-    if depth > PLANNED_LEVELS:
-        scratch = Scratch(spark)
-        near = scratch.write(near, "near")
+    # The least type over all edges needs no least type of each pair before it.
+    near = graph.steps(reverse)
+    scratch = Scratch(spark) if depth > PLANNED_LEVELS else None
     seen = roots.select(F.col("module").alias("root"), "module", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via")).distinct()
     frontier = seen
     for level in range(1, depth + 1):
@@ -89,11 +97,11 @@ def walk(graph: Graph, roots: DataFrame, depth: int, reverse: bool = False) -> D
     Children are visited by id. The walk runs on the part of the graph within
     ``depth`` hops of its root, which holds every module it can reach; each root is a task's group.
     """
-    near = graph.around(reverse)
+    near = graph.steps(reverse)
     inside = hops(graph, roots, max(depth - 1, 0), reverse).select("root", "module") if depth > 1 else None
     starts = roots.select(F.col("module").alias("root"), "module").distinct()
     nodes = starts if inside is None else starts.unionByName(inside).distinct()
-    parts = nodes.select("root", F.col("module").alias("here")).join(near, "here").select("root", "here", "there", "via")
+    parts = nodes.select("root", F.col("module").alias("here")).join(near, "here").groupBy("root", "here", "there").agg(F.min("via").alias("via"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         root = pdf["root"].iloc[0]

@@ -111,10 +111,11 @@ class Compiler:
         return self._reach(pattern, depth, True)
 
     def _beside(self, ids: DataFrame, reverse: bool) -> DataFrame:
-        # Straight from the edges: the few ids cut them down before anything is shuffled.
+        # Straight from the edges, without the aggregate over all pairs.
         here, there = ("target", "source") if reverse else ("source", "target")
         pairs = self.graph.edges.select(G.module_of(here).alias("here"), G.module_of(there).alias("module")).filter("here <> module")
-        return pairs.join(ids.select(F.col("module").alias("here")), "here", "left_semi").select("module").distinct()
+        # Ids are distinct: an inner join keeps the plan small where a semi join is copied into every branch of a union.
+        return pairs.join(ids.select(F.col("module").alias("here")), "here").select("module").distinct()
 
     def _do_imports(self, pattern=""):
         return self._beside(self._ids(pattern), False)

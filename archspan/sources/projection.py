@@ -118,4 +118,4 @@ def graph(spark: SparkSession, sf_dir: str, with_calls: bool = False) -> Graph:
     every = edges(spark, sf_dir)
     if with_calls:
         every = every.unionByName(calls(spark, sf_dir).select(F.lit("calls").alias("etype"), "source", "target"))
-    return Graph(modules(spark, sf_dir), entities(spark, sf_dir), every)
+    return Graph(modules(spark, sf_dir), entities(spark, sf_dir), every).cached()

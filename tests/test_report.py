@@ -31,7 +31,7 @@ def answers(spark):
         ("boundary", ("a/y", "--files-only"), "a/y.py"),
         ("module", ("a/y",), "(cls a/y Thing 3 :lang py (:methods run))"),
         ("deps", ("a/x", "2"), "(dep a/x b/z :lang py :via imports :depth 2)"),
-        ("deps", ("a/x", "2"), "(dep a/x b/z :lang py :via calls :depth 1)"),
+        ("deps", ("a/x", "2"), "(dep a/x b/z :lang py :via calls :depth 1 :cycle)"),
         ("rdeps", ("a/y", "1"), "(rdep a/y b/z :lang py :via imports :depth 1)"),
         ("entity", ("Thing",), "(entity-def cls a/y Thing 3 :lang py :file \"a/y.py\")"),
         ("entity", ("Thing",), "(refs a/x a/y::Thing)"),
