@@ -12,6 +12,7 @@ from . import edges as E
 from . import resolve
 from .graph import Graph
 from .policy import id_collisions
+from .scratch import Scratch
 
 _NONE = "cast(array() as array<string>)"
 
@@ -41,10 +42,12 @@ def check_ids(modules: DataFrame) -> None:
 
 def build(facts: DataFrame, cfg: resolve.Configs) -> Graph:
     """Graph of all edges that the facts imply: imports, calls of interfaces, data flows, references, HTTP calls."""
-    facts = facts.withColumn("module", module_id(F.col("path"), F.col("language")))
+    # Facts and resolved imports feed many joins: written once, they are extracted once.
+    scratch = Scratch(facts.sparkSession)
+    facts = scratch.write(facts, "facts").withColumn("module", module_id(F.col("path"), F.col("language")))
     modules, entities = modules_of(facts), entities_of(facts)
     check_ids(modules)
-    found = resolve.resolved(facts, cfg)
+    found = scratch.write(resolve.resolved(facts, cfg), "resolved")
     plain = facts.select(F.col("module").alias("source"), F.explode("imports").alias("import"))
     submodules = _submodules(facts)
     related = facts.select(F.col("module").alias("source"), F.explode("relations").alias("_r")).select("source", F.col("_r.target").alias("import"), F.col("_r.relation").alias("relation"))
@@ -77,7 +80,7 @@ def build(facts: DataFrame, cfg: resolve.Configs) -> Graph:
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return Graph(modules, entities, out.dropDuplicates(["etype", "source", "target"]))
+    return Graph(modules, entities, scratch.write(out.dropDuplicates(["etype", "source", "target"]), "edges"))
 
 
 def _submodules(facts: DataFrame) -> DataFrame:

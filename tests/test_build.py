@@ -9,12 +9,21 @@ from archspan.operators import build, resolve
 from archspan.sources import tree
 
 
-def edges_of(spark, files, etype="imports", only=("source", "target")):
-    df = spark.createDataFrame(list(files.items()), "path string, content string")
-    sources = df.withColumn("language", tree.language(df.path)).filter("language is not null").selectExpr("path", "language", "'repo' as repo", "content")
-    facts = file_facts(sources)
-    g = build.build(facts, resolve.configs(df))
-    return {tuple(r[c] for c in only) for r in g.edges.filter(f"etype = '{etype}'").collect()}
+_BUILT = {}
+
+
+def rows_of(spark, files):
+    """Edges (etype, source, target, flags) of a tree of files, built once."""
+    key = tuple(files.items())
+    if key not in _BUILT:
+        df = spark.createDataFrame(list(files.items()), "path string, content string")
+        sources = df.withColumn("language", tree.language(df.path)).filter("language is not null").selectExpr("path", "language", "'repo' as repo", "content")
+        _BUILT[key] = build.build(file_facts(sources), resolve.configs(df)).edges.select("etype", "source", "target", "flags").collect()
+    return _BUILT[key]
+
+
+def edges_of(spark, files, etype="imports"):
+    return {(r["source"], r["target"]) for r in rows_of(spark, files) if r["etype"] == etype}
 
 
 def test_python(spark):
@@ -102,10 +111,7 @@ def test_ruby(spark):
 
 
 def _with_flags(spark, files):
-    df = spark.createDataFrame(list(files.items()), "path string, content string")
-    sources = df.withColumn("language", tree.language(df.path)).filter("language is not null").selectExpr("path", "language", "'repo' as repo", "content")
-    g = build.build(file_facts(sources), resolve.configs(df))
-    return [(r["source"], r["target"], [f for f in r["flags"] if f != "via-base"]) for r in g.edges.filter("etype = 'imports'").collect()]
+    return [(r["source"], r["target"], [f for f in r["flags"] if f != "via-base"]) for r in rows_of(spark, files) if r["etype"] == "imports"]
 
 
 def test_pascal(spark):
