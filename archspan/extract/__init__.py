@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import purpose
 from ..schema import FILE_FACTS
+from ..shipping import ship
 from . import curly, pascal, python, ruby, typescript
 
 #: Extractor by language; registering a language here is all a new one needs.
@@ -57,6 +58,7 @@ def extract_one(path: str, language: str, repo: str, content: str) -> dict:
 
 def file_facts(files: DataFrame) -> DataFrame:
     """Facts of files (path, language, repo, content); languages without an extractor are left out."""
+    ship(files.sparkSession)
     columns = [f.name for f in SCHEMA.fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

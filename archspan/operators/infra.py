@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship
+
 # Environment names, the dependency they mean and its transport.
 ENV_RULES = (
     (r"^(?:DATABASE_URL|POSTGRES_HOST|POSTGRES_URL|PG_HOST|PG_URL|PGHOST)", "postgres", "tcp"),
@@ -85,6 +87,7 @@ def _base(path: str = "path") -> Column:
 
 def kept(files: DataFrame) -> DataFrame:
     """Files outside the skipped directories."""
+    ship(files.sparkSession)
     return files.filter(~F.arrays_overlap(F.split(_dir(), "/"), F.array(*map(F.lit, SKIP_DIRS))))
 
 

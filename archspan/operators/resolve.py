@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship
 from ..sources.tree import module_id
 
 #: Endings tried for a TypeScript base, and for a Pascal path without one (fixed values).
@@ -306,6 +307,8 @@ def resolved(facts: DataFrame, cfg: Configs, files: DataFrame | None = None) ->
     A Go package gives a row for each of its files; all else gives one row at most.
     """
 
+    ship(facts.sparkSession)
+
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def keys(language: pd.Series, name: pd.Series, path: pd.Series, exported: pd.Series, extends: pd.Series, paths: pd.Series) -> pd.Series:
         out = []

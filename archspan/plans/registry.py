@@ -11,11 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..extract import file_facts
 from ..functions import classify
 from ..functions.pattern import to_like
 from ..operators import edges as E
 from ..operators import graph as G
-from ..operators import infra, lookup, policy, ranges
+from ..operators import build, infra, lookup, policy, ranges, resolve
+from ..sources import factmap, tree
 from ..sources import projection as P
 from . import sexpr
 
@@ -351,6 +353,82 @@ _query("infra_image_base", "select distinct concat('reg.io/', lower(replace(p_br
 )
 
 
+# Manifests made of the tables' rows: a deployment for each part, a directory of modules for each nation.
+def _deployments(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    key = F.col("p_partkey").cast("string")
+    text = F.concat(
+        F.lit("kind: Deployment\nmetadata:\n  name: part-"), key, F.lit("\nspec:\n  template:\n    spec:\n      containers:\n      - image: reg/"), F.col("p_brand"), F.lit(":v"), F.col("p_size").cast("string"),
+        F.lit("\n        ports:\n        - containerPort: "), (F.col("p_size") + 8000).cast("string"), F.lit("\n        env:\n        - name: REDIS_URL\n        - name: PLAIN\n"),
+    )
+    folder = F.concat(F.lit("k8s/p"), key)
+    kustomize = part.select(F.concat(folder, F.lit("/kustomization.yaml")).alias("path"), F.lit("resources:\n- .\n").alias("content"))
+    return kustomize.unionByName(part.select(F.concat(folder, F.lit("/deployment.yaml")).alias("path"), text.alias("content")))
+
+
+def _terraform(spark, sf_dir):
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    n, r = F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("string")
+    text = F.concat(F.lit('module "n'), n, F.lit('" {\n  source = "./n"\n  dep = module.r'), r, F.lit('.id\n}\nmodule "r'), r, F.lit('" {\n  source = "./r"\n}\nresource "kind" "res'), n, F.lit('" {\n}\n'))
+    return nation.select(F.concat(F.lit("tf/"), n, F.lit("/main.tf")).alias("path"), text.alias("content"))
+
+
+_query("infra_kustomize_nodes", "select concat('infra/part-',p_partkey) as id, 'deployment' as kind, concat('reg/',p_brand,':v',p_size) as image, cast(p_size+8000 as int) as port, '' as component, concat('k8s/p',p_partkey,'/deployment.yaml') as source_file from part")(lambda s, d: infra.topology(_deployments(s, d))[0])
+_query("infra_kustomize_edges", "select concat('infra/part-',p_partkey) as source, 'infra/redis' as target, 'k8s-depends' as edge_type, 'env' as via, 'tcp' as transport, '' as extra from part union all select concat('infra/part-',p_partkey), p_brand, 'infra-maps', 'image-name', '', '' from part")(lambda s, d: infra.topology(_deployments(s, d))[1])
+_query("infra_terraform_nodes", "select concat('infra/tf-n',n_nationkey) as id, 'module' as component from nation union all select concat('infra/tf-res',n_nationkey), 'kind' from nation union all select distinct concat('infra/tf-r',n_regionkey), 'module' from nation")(lambda s, d: infra.topology(_terraform(s, d))[0].select("id", "component"))
+_query("infra_terraform_edges", "select concat('infra/tf-n',n_nationkey) as source, concat('infra/tf-r',n_regionkey) as target, 'module-reference' as via from nation")(lambda s, d: infra.topology(_terraform(s, d))[1].select("source", "target", "via"))
+
+# Sources made of the tables' rows.
+_LANGUAGES = {"py": "python", "ts": "typescript", "tsx": "tsx", "rb": "ruby", "go": "go", "java": "java"}
+
+
+def _empty_sources(spark, sf_dir):
+    language = F.create_map(*[F.lit(x) for pair in _LANGUAGES.items() for x in pair])
+    return P.modules(spark, sf_dir).select("path", language[F.col("lang")].alias("language"), F.lit("repo").alias("repo"), F.lit("").alias("content"))
+
+
+_query("module_ids", _with("modules") + "select path, module from modules")(lambda s, d: P.modules(s, d).select("path", tree.module_id(F.col("path"), tree.language(F.col("path"))).alias("module")))
+_query(
+    "purpose_inferred",
+    _with("modules") + "select path, case lang when 'ts' then 'domain logic' when 'tsx' then 'UI component' when 'rb' then 'infrastructure adapter' when 'go' then 'service' when 'java' then 'API layer' else 'general module' end as purpose, naming from modules",
+)(lambda s, d: file_facts(_empty_sources(s, d)).select("path", "purpose", "naming"))
+
+
+def _sources(spark, sf_dir):
+    """A package for each nation: a module with a class, and one for each supplier that imports it."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("string").alias("n"))
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("k"), F.col("s_nationkey").cast("string").alias("n"))
+    shape = lambda df, path, text: df.select(path.alias("path"), F.lit("python").alias("language"), F.lit("repo").alias("repo"), text.alias("content"))
+    base = shape(nation, F.concat(F.lit("src/n"), "n", F.lit("/base.py")), F.concat(F.lit("class Port(Protocol):\n    def run(self): ...\n\ndef make"), "n", F.lit("():\n    return 1\n")))
+    user = shape(supplier, F.concat(F.lit("src/n"), "n", F.lit("/s"), "k", F.lit(".py")), F.concat(F.lit("from .base import Port\nimport json\n\nclass Impl"), "k", F.lit("(Port):\n    def run(self):\n        return 2\n")))
+    return base.unionByName(user)
+
+
+_query("extract_python", "select concat('src/n',n_nationkey,'/base') as module, 'Port' as name, 'cls' as kind, cast(1 as int) as line from nation union all select concat('src/n',n_nationkey,'/base'), concat('make',n_nationkey), 'fn', 4 from nation union all select concat('src/n',s_nationkey,'/s',s_suppkey), concat('Impl',s_suppkey), 'cls', 4 from supplier")(
+    lambda s, d: build.entities_of(file_facts(_sources(s, d))).select("module", "name", "kind", "line")
+)
+_query(
+    "build_edges",
+    "with p as (select concat('src/n',s_nationkey,'/s',s_suppkey) as m, concat('src/n',s_nationkey,'/base') as b, s_suppkey as k from supplier) select 'imports' as etype, m as source, b as target from p union all select 'calls-api', m, b from p union all select 'refs', concat(m,'::Impl',k), concat(b,'::Port') from p",
+)(lambda s, d: build.build(file_facts(_sources(s, d)), resolve.Configs([])).edges.select("etype", "source", "target"))
+_query("fact_nodes", _with("modules") + "select concat('(node ', case pkg when 'MIDDLE EAST' then 'ME' else substr(pkg,1,2) end, '0 py \"type definitions\" :naming snake_case :pkg ', case when position(' ' in pkg)>0 then concat('\"',pkg,'\"') else pkg end, ')') as fact from modules where lang='py'")(
+    lambda s, d: factmap.fact_text(_regions(s, d)).filter("part = 2").select("fact")
+)
+_query("factmap_roundtrip", _with("modules") + "select module, lang, pkg, purpose from modules where lang in ('py','ts')")(lambda s, d: _roundtrip(s, d).select("module", "lang", "pkg", "purpose"))
+
+
+def _regions(spark, sf_dir, languages=("py",)):
+    whole = P.graph(spark, sf_dir)
+    return G.Graph(whole.modules.filter(F.col("lang").isin(*languages)), whole.entities.limit(0), whole.edges.limit(0))
+
+
+def _roundtrip(spark, sf_dir):
+    """Modules of regions and nations as fact text, read back."""
+    lines = factmap.fact_text(_regions(spark, sf_dir, ("py", "ts")))
+    text = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "sort", "fact"))), lambda x: x["fact"]), "\n").alias("value"))
+    return factmap.graph_of(factmap.parse_texts(text)).modules
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["boundary"](spark, sf_dir)
 

@@ -19,8 +19,12 @@ from ..functions.pattern import QueryError
 from ..operators.edges import short_ids
 from ..operators.graph import Graph
 from ..schema import EDGE_TYPES, KIND_TAGS
+from ..shipping import ship
 
+# Fixed values of the format: header tag, schema version, file names from preferred to older.
+HEADER = "belief-map"
 SCHEMA_VERSION = 1
+MAP_NAMES = (".belief_map.sexp", "belief_map.sexp")
 FACT = "line_no long, kind string, args array<string>, flags array<string>, lists map<string, array<string>>"
 _EDGE_KINDS = tuple(v for v in EDGE_TYPES.values() if v != "violation")
 
@@ -97,7 +101,7 @@ def parse(text: str) -> tuple[dict[str, int], list[tuple]]:
 
     for line, form in forms(text):
         kind = form[0] if form and isinstance(form[0], str) else ""
-        if kind == "belief-map":
+        if kind == HEADER:
             pairs = dict(zip(form[1::2], form[2::2], strict=False))
             header = {k.lstrip(":"): int(v) for k, v in pairs.items() if str(v).isdigit()}
         elif kind == "paths":
@@ -137,15 +141,21 @@ def parse(text: str) -> tuple[dict[str, int], list[tuple]]:
     return header, facts
 
 
-def read_facts(spark: SparkSession, path: str) -> DataFrame:
-    """Facts (line_no, kind, args, flags, lists) of a map file."""
+def parse_texts(texts: DataFrame) -> DataFrame:
+    """Facts (line_no, kind, args, flags, lists) of whole map texts (value)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for text in batch["value"]:
                 yield pd.DataFrame(parse(text)[1], columns=["line_no", "kind", "args", "flags", "lists"])
 
-    return spark.read.text(path, wholetext=True).mapInPandas(run, FACT)
+    ship(texts.sparkSession)
+    return texts.mapInPandas(run, FACT)
+
+
+def read_facts(spark: SparkSession, path: str) -> DataFrame:
+    """Facts (line_no, kind, args, flags, lists) of a map file."""
+    return parse_texts(spark.read.text(path, wholetext=True))
 
 
 def raw_facts(spark: SparkSession, path: str) -> DataFrame:
@@ -156,7 +166,10 @@ def raw_facts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_map(spark: SparkSession, path: str) -> Graph:
-    facts = read_facts(spark, path)
+    return graph_of(read_facts(spark, path))
+
+
+def graph_of(facts: DataFrame) -> Graph:
     arg = lambda n: F.get("args", F.lit(n))
     listed = lambda name: F.coalesce(F.col("lists").getItem(name), F.array().cast("array<string>"))
     one = lambda name: F.coalesce(F.get(listed(name), F.lit(0)), F.lit(""))
@@ -180,7 +193,7 @@ def fact_text(graph: Graph) -> DataFrame:
     """(part, sort, fact): lines of a map, in the order part, sort."""
     ids = short_ids(graph.modules).select("module", "sid")
     counts = graph.modules.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(graph.edges.agg(F.count(F.lit(1)).alias("e"))), F.lit(True))
-    head = counts.select(F.lit(0).alias("part"), F.lit("").alias("sort"), F.concat(F.lit(f"(belief-map :schema {SCHEMA_VERSION} :files "), F.col("n"), F.lit(" :nodes "), F.col("n"), F.lit(" :edges "), F.col("e"), F.lit(" :violations 0)")).alias("fact"))
+    head = counts.select(F.lit(0).alias("part"), F.lit("").alias("sort"), F.concat(F.lit(f"({HEADER} :schema {SCHEMA_VERSION} :files "), F.col("n"), F.lit(" :nodes "), F.col("n"), F.lit(" :edges "), F.col("e"), F.lit(" :violations 0)")).alias("fact"))
     defs = ids.select(F.lit(1).alias("part"), F.col("module").alias("sort"), F.concat(F.lit("(def "), "sid", F.lit(" "), _quoted(F.col("module")), F.lit(")")).alias("fact"))
     flag = lambda name, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f" :{name} "), _atom(F.col(c)))).otherwise("")
     nodes = graph.modules.join(ids, "module").select(F.lit(2).alias("part"), F.col("module").alias("sort"), F.concat(F.lit("(node "), "sid", F.lit(" "), "lang", F.lit(" "), _quoted(F.coalesce("purpose", F.lit(""))), flag("naming", "naming"), flag("pkg", "pkg"), F.lit(")")).alias("fact"))
@@ -214,7 +227,7 @@ def find_map(start: str) -> str | None:
     """The nearest map file from ``start`` upwards."""
     here = os.path.abspath(start)
     while True:
-        for name in (".belief_map.sexp", "belief_map.sexp"):
+        for name in MAP_NAMES:
             if os.path.isfile(os.path.join(here, name)):
                 return os.path.join(here, name)
         if os.path.dirname(here) == here:
