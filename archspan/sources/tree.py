@@ -190,6 +190,12 @@ def commits(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame([(r[0], r[1] if len(r) > 1 else None) for r in rows], "sha string, first_parent string")
 
 
+def subjects(spark: SparkSession, root: str) -> DataFrame:
+    """(sha, subject) of every commit of all refs and reflogs."""
+    out = subprocess.run(["git", "-C", root, "log", "--all", "--reflog", "--format=%H%x09%s"], capture_output=True, text=True, timeout=120, check=True).stdout
+    return spark.createDataFrame([tuple(line.split("\t", 1)) for line in out.splitlines() if "\t" in line], "sha string, subject string")
+
+
 def diff_lines(spark: SparkSession, root: str, ref: str = "HEAD") -> DataFrame:
     """(line_no, line) of the diff of a working tree against ``ref`` without context lines."""
     out = subprocess.run(["git", "-C", root, "diff", "--unified=0", ref], capture_output=True, text=True, timeout=30, check=True).stdout
