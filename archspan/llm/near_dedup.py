@@ -1,11 +1,12 @@
 """Near-duplicate classes by consistent weighted sampling over TF-IDF shingles.
 
 Shingles are five words (lower-cased A-Z, cut at ASCII punctuation). A shingle's
-weight in a document is (1 + ln tf) times an inverse document frequency between
-1 and 1.05: 1 + 0.05 * min(ln(N / df), ln 256) / ln 256. The narrow range keeps two
-near copies of a group that holds a third of the table as similar as two of a
-pair, where a wide idf lets their rare differences outweigh all that they share
-(with a range of 1.25, copies of a large group at 0.81 fell below the threshold).
+weight in a document is lift(ln tf) * lift(ln(N / df)), where lift(x) runs from 1 to
+1.05: 1 + 0.05 * min(x, ln 256) / ln 256. The narrow range keeps two near copies
+of a group that holds a third of the table as similar as two of a pair, where a wide
+idf lets their rare differences outweigh all that they share (with a range of
+1.25, copies of a large group at 0.81 fell below the threshold), and keeps edits
+of repetitive texts as telling as those of others.
 
 1. Document frequencies: every task adds its documents to a count-min sketch of
    fixed size; sketches are summed part by part as streams. A document adds
@@ -21,8 +22,9 @@ pair, where a wide idf lets their rare differences outweigh all that they share
    most buckets with others (tells in small ones). Work is linear in bucket
    members: no bucket is expanded into pairs.
 4. Verification: exact weighted Jaccard of the two whole texts, at least ``SIMILARITY``.
-   Texts left without a link are banded once more with fresh samples, together
-   with the texts that have several links.
+   The texts of different components then meet once more in narrower buckets, of
+   two bands each, whose leaders are other texts: copies that resemble each
+   other more than their original are linked there.
 5. Classes: connected components of the links by least labels with pointer
    jumping; each step is a written table.
 
@@ -37,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,13 +49,12 @@ from .common import Scratch, packed, ship, small, unpacked
 SIMILARITY = 0.8
 WIDTH = 5
 BANDS, ROWS = 12, 3
-ROUNDS = 2
+#: Distances between the two bands of a narrower bucket.
+STEPS = (1, 5)
 #: Count-min sketch of document frequencies.
 SKETCH_ROWS, SKETCH_BITS = 2, 20
 PARTS = 16
 CLIP, LIFT = 256.0, 0.05
-#: Links from which a text is a hub.
-HUB = 3
 GROUP_BYTES = 1 << 19
 U = np.uint64
 
@@ -114,9 +115,12 @@ def _idf(shingle: np.ndarray, table: np.ndarray) -> np.ndarray:
     return idf
 
 
+def _lifted(value: np.ndarray) -> np.ndarray:
+    return 1 + LIFT / np.log(CLIP) * np.clip(value, 0, np.log(CLIP))
+
+
 def _weights(count: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    factor = 1 + LIFT / np.log(CLIP) * np.clip(idf, 0, np.log(CLIP))
-    return ((1 + np.log(count)) * factor).astype(np.float32)
+    return (_lifted(np.log(count)) * _lifted(idf)).astype(np.float32)
 
 
 def _uniform(bits: np.ndarray, width: int) -> np.ndarray:
@@ -141,7 +145,7 @@ def weighted_samples(shingle: np.ndarray, weight: np.ndarray, starts: np.ndarray
     return textbytes.mix(shingle[at] * textbytes._ODD[42] + t[at].astype(np.int64).astype(U) * textbytes._ODD[43] + seed)
 
 
-def _bands(column: pa.Array, table: np.ndarray, turn: int) -> tuple[pa.Array, pa.Array]:
+def _bands(column: pa.Array, table: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """Band hashes of every text (null for texts without a word), and how frequent its shingles are."""
     out = np.zeros((len(column), BANDS), U)
     has = np.zeros(len(column), bool)
@@ -159,20 +163,20 @@ def _bands(column: pa.Array, table: np.ndarray, turn: int) -> tuple[pa.Array, pa
         for band in range(BANDS):
             h = np.full(len(rows), band + 1, U) * textbytes._ODD[44]
             for j in range(ROWS):
-                h = textbytes.mix(h + weighted_samples(shingle, weight, starts, (turn * BANDS + band) * ROWS + j))
+                h = textbytes.mix(h + weighted_samples(shingle, weight, starts, band * ROWS + j))
             out[rows, band] = h
     values = pa.array(out.view(np.int64).ravel())
     flat = pa.FixedSizeListArray.from_arrays(values, BANDS).cast(pa.list_(pa.int64()))
     return pa.compute.if_else(pa.array(has), flat, pa.scalar(None, flat.type)), pa.array(common)
 
 
-def banded(rows: DataFrame, table, turn: int) -> DataFrame:
+def banded(rows: DataFrame, table) -> DataFrame:
     """Columns other than text, and ``bands`` and ``common``."""
     kept = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = _bands(batch.column(batch.schema.get_field_index("text")), table.value, turn)
+            made = _bands(batch.column(batch.schema.get_field_index("text")), table.value)
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], *made], names=[*kept, "bands", "common"])
 
     return rows.mapInArrow(run, rows.select(*kept).schema.add("bands", T.ArrayType(T.LongType())).add("common", T.DoubleType()))
@@ -203,22 +207,29 @@ def similarity(left: pa.Array, right: pa.Array, table: np.ndarray) -> np.ndarray
 
 
 def _pairs(texts: DataFrame, scratch: Scratch, turn: int) -> DataFrame:
-    """Distinct (a, b), a < b, of bucket members and the two leaders of their bucket."""
-    flat = texts.filter("bands is not null").select("tkey", "common", F.explode("bands").alias("band"))
-    sizes = flat.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    """Distinct (a, b), a < b, of bucket members and the two leaders of their bucket, with different labels."""
+    flat = texts.filter("bands is not null").select("tkey", "label", "common", F.explode("bands").alias("band"))
+    sizes = flat.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi").select("band", "size")
     members = scratch.write(flat.join(sizes, "band"), f"members{turn}")
     score = members.groupBy("tkey").agg(F.sum("size").alias("score"))
-    scored = members.select("band", "tkey", "common").join(score, "tkey")
-    leaders = scored.groupBy("band").agg(F.max(F.struct("common", "score", "tkey"))["tkey"].alias("first"), F.max(F.struct("score", "common", "tkey"))["tkey"].alias("second"))
+    scored = members.select("band", "tkey", "label", "common").join(score, "tkey")
+    leaders = scored.groupBy("band").agg(F.max(F.struct("common", "score", "tkey", "label")).alias("first"), F.max(F.struct("score", "common", "tkey", "label")).alias("second"))
+    led = leaders.select("band", F.array(*[F.struct(F.col(f"{x}.tkey").alias("k"), F.col(f"{x}.label").alias("l")) for x in ("first", "second")]).alias("_led"))
     return (
-        members.join(leaders, "band")
-        .select("tkey", F.explode(F.array("first", "second")).alias("leader"))
-        .filter(F.col("tkey") != F.col("leader"))
-        .select(F.least("tkey", "leader").alias("a"), F.greatest("tkey", "leader").alias("b"))
+        members.join(led, "band")
+        .select("tkey", "label", F.explode("_led").alias("_l"))
+        .filter("label <> _l.l")
+        .select(F.least(F.col("tkey"), F.col("_l.k")).alias("a"), F.greatest(F.col("tkey"), F.col("_l.k")).alias("b"))
         .distinct()
     )
 
 
+def _narrower() -> Column:
+    """Hashes of two bands each."""
+    band = lambda i: F.element_at("bands", i % BANDS + 1)
+    return F.array(*[F.xxhash64(F.lit(step), F.lit(i), band(i), band(i + step)) for step in STEPS for i in range(BANDS)])
+
+
 def _fetch(docs: DataFrame, keys: DataFrame, n: int, scratch: Scratch, name: str) -> DataFrame:
     """(tkey, text) of the texts in ``keys`` (tkey, first_id): one document of each is read out."""
     found = docs.join(small(keys, n), (docs.tkey == keys.tkey) & docs.doc_id.eqNullSafe(keys.first_id)).select(docs.tkey, docs.text)
@@ -239,11 +250,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, table) -> DataFrame:
     return sides.mapInArrow(run, "a binary, b binary, similarity double")
 
 
-def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, name: str = "all") -> DataFrame:
     """(node, label): least node of each connected component of links (a, b)."""
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    edges = scratch.write(both, "edges")
-    labels = scratch.write(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "labels0")
+    edges = scratch.write(both, f"{name}_edges")
+    labels = scratch.write(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), f"{name}0")
     turn = 0
     while True:
         turn += 1
@@ -251,11 +262,11 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         nearer = labels.join(heard.withColumnRenamed("u", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
         after = nearer.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label"))
-        after = scratch.write(after, f"labels{turn}")
+        after = scratch.write(after, f"{name}{turn}")
         moved = after.filter("label <> old").count()
         labels = after.select("node", "label")
         if turn > 1:
-            scratch.drop(f"labels{turn - 2}")
+            scratch.drop(f"{name}{turn - 2}")
         if not moved:
             return labels
 
@@ -268,36 +279,32 @@ def _resolve(df: DataFrame) -> tuple[Scratch, DataFrame, DataFrame, DataFrame]:
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     table = spark.sparkContext.broadcast(frequencies(docs))
     keyed = docs.withColumn("tkey", _key())
-    signed = scratch.write(banded(keyed, table, 0), "signed")
+    signed = scratch.write(banded(keyed, table), "signed")
     texts = scratch.write(signed.groupBy("tkey").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("common").alias("common")), "texts")
-    links, active = None, texts
-    for turn in range(ROUNDS):
+    links = spark.createDataFrame([], "a binary, b binary, similarity double")
+    active = texts.select("tkey", "common", "bands", F.col("tkey").alias("label"))
+    for turn in range(2):
         pairs = scratch.write(_pairs(active, scratch, turn), f"pairs{turn}")
-        if turn == 0 or pairs.take(1):
-            ends = pairs.select(F.col("a").alias("tkey")).union(pairs.select(F.col("b").alias("tkey"))).distinct()
-            keys = scratch.write(ends.join(texts.select("tkey", "first_id"), "tkey"), f"keys{turn}")
-            n = keys.count()
-            if not n:
-                break
-            fetched = _fetch(keyed, keys, n, scratch, f"fetched{turn}")
-            found = scratch.write(_verified(pairs, fetched, table), f"links{turn}")
-            links = found if links is None else links.unionByName(found)
-        else:
+        ends = pairs.select(F.col("a").alias("tkey")).union(pairs.select(F.col("b").alias("tkey"))).distinct()
+        keys = scratch.write(ends.join(texts.select("tkey", "first_id"), "tkey"), f"keys{turn}")
+        n = keys.count()
+        if not n:
             break
-        if turn + 1 < ROUNDS:
-            degree = found.select(F.explode(F.array("a", "b")).alias("tkey")).groupBy("tkey").agg(F.count(F.lit(1)).alias("n"))
-            left = fetched.join(degree.filter(F.col("n") < HUB), "tkey", "left_anti")
-            active = scratch.write(banded(left, table, turn + 1), f"active{turn}")
-    if links is None:
-        links = spark.createDataFrame([], "a binary, b binary, similarity double")
+        fetched = _fetch(keyed, keys, n, scratch, f"fetched{turn}")
+        links = links.unionByName(scratch.write(_verified(pairs, fetched, table), f"links{turn}"))
+        if turn == 0:
+            met = components(links, scratch, "met")
+            near = texts.join(small(keys.select("tkey"), n), "tkey", "left_semi").join(met.withColumnRenamed("node", "tkey"), "tkey", "left")
+            active = scratch.write(near.select("tkey", "common", _narrower().alias("bands"), F.coalesce("label", "tkey").alias("label")), "active")
     labels = components(links, scratch)
     n_labels = labels.count()
     joined = texts.select("tkey", "first_id", "copies").join(small(labels.withColumnRenamed("node", "tkey"), n_labels), "tkey", "left")
     classes = scratch.write(joined.withColumn("label", F.coalesce("label", "tkey")), "classes")
-    for turn in range(ROUNDS):
-        for name in ("members", "pairs", "keys", "fetched", "active"):
+    for name in ("members", "pairs", "keys", "fetched"):
+        for turn in range(2):
             scratch.drop(f"{name}{turn}")
-    scratch.drop("texts")
+    for name in ("texts", "active", "met_edges", "all_edges"):
+        scratch.drop(name)
     return scratch, signed.select("doc_id", "tkey"), classes, links
 
 
