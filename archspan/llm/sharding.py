@@ -44,9 +44,7 @@ def _step(n: int, seed: int):
                 F.when(i % 2 == 1, mix_r).otherwise(right).alias("r"),
             )
 
-        start = F.struct((x % F.lit(a).cast("long")).alias("l"), F.floor(x / F.lit(a)).alias("r")) if n < 2**52 else F.struct(
-            (x % F.lit(a).cast("long")).alias("l"), F.expr("0L").alias("r")
-        )
+        start = F.struct((x % F.lit(a).cast("long")).alias("l"), F.floor(x / F.lit(a)).alias("r"))
         return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda s: s["r"] * F.lit(a).cast("long") + s["l"])
 
     return a, permute
