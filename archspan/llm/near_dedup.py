@@ -19,12 +19,15 @@ of repetitive texts as telling as those of others.
    compared with two leaders of it, both likely to be the original among its
    edited copies, whose copies need not be alike: the text whose shingles are most
    frequent (an edit makes rare ones; tells in large groups), and the text that shares
-   most buckets with others (tells in small ones). Work is linear in bucket
-   members: no bucket is expanded into pairs.
+   most buckets with others (tells in small ones). So the copies of a large group
+   are one component before any pairs are made.
 4. Verification: exact weighted Jaccard of the two whole texts, at least ``SIMILARITY``.
-   The texts of different components then meet once more in narrower buckets, of
-   two bands each, whose leaders are other texts: copies that resemble each
-   other more than their original are linked there.
+   Then every pair of a bucket that the leaders left in different components is
+   decided: a bucket's members are dealt to blocks of ``BLOCK``, by component, and
+   every two blocks with different components are compared as a whole. A bound
+   that never falls below the similarity picks the pairs to verify. Pairs of one
+   component are not compared, so work is linear in the copies of a text and
+   quadratic only in members of one bucket that are no copies of each other.
 5. Classes: connected components of the links by least labels with pointer
    jumping; each step is a written table.
 
@@ -39,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,8 +52,10 @@ from .common import Scratch, packed, ship, small, unpacked
 SIMILARITY = 0.8
 WIDTH = 5
 BANDS, ROWS = 12, 3
-#: Distances between the two bands of a narrower bucket.
-STEPS = (1, 5)
+#: Members and bytes of text of a block, about.
+BLOCK, BLOCK_BYTES = 128, 1 << 22
+#: Shingles that are compared at a time.
+COLUMNS = 4096
 #: Count-min sketch of document frequencies.
 SKETCH_ROWS, SKETCH_BITS = 2, 20
 PARTS = 16
@@ -206,28 +211,102 @@ def similarity(left: pa.Array, right: pa.Array, table: np.ndarray) -> np.ndarray
     return out
 
 
-def _pairs(texts: DataFrame, scratch: Scratch, turn: int) -> DataFrame:
-    """Distinct (a, b), a < b, of bucket members and the two leaders of their bucket, with different labels."""
-    flat = texts.filter("bands is not null").select("tkey", "label", "common", F.explode("bands").alias("band"))
-    sizes = flat.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi").select("band", "size")
-    members = scratch.write(flat.join(sizes, "band"), f"members{turn}")
+def _pairs(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Distinct (a, b), a < b, of bucket members and the two leaders of their bucket; and the other members (band, tkey, bytes)."""
+    flat = texts.filter("bands is not null").select("tkey", "common", "bytes", F.explode("bands").alias("band"))
+    sizes = flat.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("tkey").alias("_lo"), F.max("tkey").alias("_hi")).filter("_lo <> _hi").select("band", "size")
+    members = scratch.write(flat.join(sizes, "band"), "members")
     score = members.groupBy("tkey").agg(F.sum("size").alias("score"))
-    scored = members.select("band", "tkey", "label", "common").join(score, "tkey")
-    leaders = scored.groupBy("band").agg(F.max(F.struct("common", "score", "tkey", "label")).alias("first"), F.max(F.struct("score", "common", "tkey", "label")).alias("second"))
-    led = leaders.select("band", F.array(*[F.struct(F.col(f"{x}.tkey").alias("k"), F.col(f"{x}.label").alias("l")) for x in ("first", "second")]).alias("_led"))
-    return (
-        members.join(led, "band")
-        .select("tkey", "label", F.explode("_led").alias("_l"))
-        .filter("label <> _l.l")
-        .select(F.least(F.col("tkey"), F.col("_l.k")).alias("a"), F.greatest(F.col("tkey"), F.col("_l.k")).alias("b"))
+    scored = members.select("band", "tkey", "common").join(score, "tkey")
+    leaders = scored.groupBy("band").agg(F.max(F.struct("common", "score", "tkey")).alias("first"), F.max(F.struct("score", "common", "tkey")).alias("second"))
+    led = leaders.select("band", F.col("first.tkey").alias("_one"), F.col("second.tkey").alias("_two"))
+    both = members.select("band", "tkey", "bytes").join(led, "band")
+    pairs = (
+        both.select("tkey", F.explode(F.array("_one", "_two")).alias("_l"))
+        .filter("tkey <> _l")
+        .select(F.least("tkey", "_l").alias("a"), F.greatest("tkey", "_l").alias("b"))
         .distinct()
     )
+    return pairs, both.filter("tkey <> _one and tkey <> _two").select("band", "tkey", "bytes")
+
+
+def _blocks(followers: DataFrame, labels: DataFrame, n_labels: int, scratch: Scratch) -> DataFrame:
+    """(task, side, tkey, label): two blocks of a bucket for every task, or one that is compared with itself (side 2)."""
+    named = followers.join(small(labels.withColumnRenamed("node", "tkey"), n_labels), "tkey", "left").withColumn("label", F.coalesce("label", "tkey"))
+    enough = lambda: F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int")
+    buckets = named.groupBy("band").agg(enough().alias("lanes"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi").select("band", "lanes")
+    laned = scratch.write(named.join(buckets, "band").withColumn("lane", F.pmod(F.xxhash64("label"), "lanes").cast("int")).drop("lanes"), "laned")
+    parts = laned.groupBy("band", "lane").agg(enough().alias("parts"))
+    dealt = laned.join(parts, ["band", "lane"]).withColumn("block", F.struct("lane", F.pmod(F.xxhash64("tkey"), "parts").cast("int").alias("part")))
+    dealt = scratch.write(dealt.select("band", "block", "tkey", "label"), "dealt")
+    held = dealt.groupBy("band", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    one, two = (held.select("band", *[F.col(c).alias(f"{c}{i}") for c in ("block", "lo", "hi")]) for i in (1, 2))
+    tasks = one.join(two, "band").filter("block1 <= block2 and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2)")
+    task = F.xxhash64("band", "block1", "block2")
+    own = F.struct(F.col("block1").alias("block"), F.lit(2).alias("side"))
+    two_sided = F.array(F.struct(F.col("block1").alias("block"), F.lit(0).alias("side")), F.struct(F.col("block2").alias("block"), F.lit(1).alias("side")))
+    sides = tasks.select("band", task.alias("task"), F.explode(F.when(F.col("block1") == F.col("block2"), F.array(own)).otherwise(two_sided)).alias("_s"))
+    return sides.select("band", "task", "_s.block", "_s.side").join(dealt, ["band", "block"]).select("task", "side", "tkey", "label")
+
+
+def may_reach(texts: pa.Array, left: np.ndarray, right: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether row i of ``left`` and row j of ``right`` (rows of ``texts``) can be of ``SIMILARITY``; never False for two rows that are.
+
+    The lesser of two weights is at most the root of their product, so products of
+    vectors of roots bound what two texts share.
+    """
+    made = []
+    for lo, _, data, offsets in textbytes.groups(texts, GROUP_BYTES):
+        doc, shingle, count = textbytes.shingles(data, offsets, WIDTH)
+        made.append((doc + lo, shingle, _weights(count, _idf(shingle, table))))
+    doc, shingle, weight = (np.concatenate(x) for x in zip(*made, strict=True))
+    total = np.bincount(doc, weight, len(texts))
+    _, code, df = np.unique(shingle, return_inverse=True, return_counts=True)
+    met = (df > 1)[code]
+    code = (np.cumsum(df > 1) - 1)[code[met]]
+    order = np.argsort(code, kind="stable")
+    doc, code, root = doc[met][order], code[order], np.sqrt(weight[met][order])
+    shared = np.zeros((len(left), len(right)))
+    for lo in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+        a, b = np.searchsorted(code, (lo, lo + COLUMNS))
+        dense = np.zeros((len(texts), int(code[b - 1]) - lo + 1), np.float32)
+        dense[doc[a:b], code[a:b] - lo] = root[a:b]
+        shared += dense[left] @ dense[right].T
+    least = SIMILARITY / (1 + SIMILARITY) * (total[left][:, None] + total[right][None, :])
+    return shared >= least * (1 - 1e-4)
+
+
+def _met(blocks: DataFrame, texts: DataFrame, table) -> DataFrame:
+    """(a, b, similarity) of the near copies among the blocks of every task."""
+
+    def near(rows: list[tuple]) -> pa.RecordBatch:
+        keys, text = [r[2] for r in rows], pa.array([r[4] for r in rows], pa.string())
+        side = np.array([r[1] for r in rows])
+        _, label = np.unique(np.array([r[3] for r in rows], object), return_inverse=True)
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        reach = may_reach(text, left, right, table.value) & (label[left][:, None] != label[right][None, :])
+        i, j = np.nonzero(reach)
+        i, j = left[i], right[j]
+        once = (i < j) | (side[i] == 0)
+        i, j = i[once], j[once]
+        s = similarity(text.take(pa.array(i)), text.take(pa.array(j)), table.value)
+        found = [(min(keys[x], keys[y]), max(keys[x], keys[y]), z) for x, y, z in zip(i[s >= SIMILARITY], j[s >= SIMILARITY], s[s >= SIMILARITY], strict=True)]
+        columns = zip(*found, strict=True) if found else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.binary(), pa.binary(), pa.float64()), strict=True)], names=["a", "b", "similarity"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if rows and rows[0][0] != row[0]:
+                    yield near(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield near(rows)
 
-def _narrower() -> Column:
-    """Hashes of two bands each."""
-    band = lambda i: F.element_at("bands", i % BANDS + 1)
-    return F.array(*[F.xxhash64(F.lit(step), F.lit(i), band(i), band(i + step)) for step in STEPS for i in range(BANDS)])
+    whole = blocks.join(texts, "tkey").select("task", "side", "tkey", "label", "text").repartition("task").sortWithinPartitions("task")
+    return whole.mapInArrow(run, "a binary, b binary, similarity double")
 
 
 def _fetch(docs: DataFrame, keys: DataFrame, n: int, scratch: Scratch, name: str) -> DataFrame:
@@ -279,31 +358,29 @@ def _resolve(df: DataFrame) -> tuple[Scratch, DataFrame, DataFrame, DataFrame]:
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     table = spark.sparkContext.broadcast(frequencies(docs))
     keyed = docs.withColumn("tkey", _key())
-    signed = scratch.write(banded(keyed, table), "signed")
-    texts = scratch.write(signed.groupBy("tkey").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("common").alias("common")), "texts")
+    sized = keyed.withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    signed = scratch.write(banded(sized, table), "signed")
+    texts = scratch.write(signed.groupBy("tkey").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("bytes").alias("bytes"), F.first("bands").alias("bands"), F.first("common").alias("common")), "texts")
     links = spark.createDataFrame([], "a binary, b binary, similarity double")
-    active = texts.select("tkey", "common", "bands", F.col("tkey").alias("label"))
-    for turn in range(2):
-        pairs = scratch.write(_pairs(active, scratch, turn), f"pairs{turn}")
-        ends = pairs.select(F.col("a").alias("tkey")).union(pairs.select(F.col("b").alias("tkey"))).distinct()
-        keys = scratch.write(ends.join(texts.select("tkey", "first_id"), "tkey"), f"keys{turn}")
-        n = keys.count()
-        if not n:
-            break
-        fetched = _fetch(keyed, keys, n, scratch, f"fetched{turn}")
-        links = links.unionByName(scratch.write(_verified(pairs, fetched, table), f"links{turn}"))
-        if turn == 0:
-            met = components(links, scratch, "met")
-            near = texts.join(small(keys.select("tkey"), n), "tkey", "left_semi").join(met.withColumnRenamed("node", "tkey"), "tkey", "left")
-            active = scratch.write(near.select("tkey", "common", _narrower().alias("bands"), F.coalesce("label", "tkey").alias("label")), "active")
+    pairs, followers = _pairs(texts, scratch)
+    pairs = scratch.write(pairs, "pairs")
+    ends = pairs.select(F.col("a").alias("tkey")).union(pairs.select(F.col("b").alias("tkey"))).distinct()
+    keys = scratch.write(ends.join(texts.select("tkey", "first_id"), "tkey"), "keys")
+    n = keys.count()
+    if n:
+        fetched = _fetch(keyed, keys, n, scratch, "fetched")
+        links = scratch.write(_verified(pairs, fetched, table), "links")
     labels = components(links, scratch)
+    if n:
+        blocks = scratch.write(_blocks(followers, labels, labels.count(), scratch), "blocks")
+        more = scratch.write(_met(blocks, fetched, table).groupBy("a", "b").agg(F.first("similarity").alias("similarity")), "more")
+        if more.take(1):
+            links = links.unionByName(more)
+            labels = components(links, scratch, "met")
     n_labels = labels.count()
     joined = texts.select("tkey", "first_id", "copies").join(small(labels.withColumnRenamed("node", "tkey"), n_labels), "tkey", "left")
     classes = scratch.write(joined.withColumn("label", F.coalesce("label", "tkey")), "classes")
-    for name in ("members", "pairs", "keys", "fetched"):
-        for turn in range(2):
-            scratch.drop(f"{name}{turn}")
-    for name in ("texts", "active", "met_edges", "all_edges"):
+    for name in ("texts", "members", "pairs", "keys", "fetched", "laned", "dealt", "blocks", "met_edges", "all_edges"):
         scratch.drop(name)
     return scratch, signed.select("doc_id", "tkey"), classes, links
 

@@ -141,3 +141,36 @@ def test_components_of_a_chain(spark):
     labels = {bytes(r["node"]): bytes(r["label"]) for r in near_dedup.components(links, Scratch(spark)).collect()}
     assert {v for k, v in labels.items() if k <= bytes([20])} == {bytes([0])}
     assert {v for k, v in labels.items() if k > bytes([20])} == {bytes([21])}
+
+
+def test_bound_never_misses_a_pair():
+    rng = random.Random(5)
+    factors = np.random.default_rng(3).uniform(0, 9, (2, 1 << near_dedup.SKETCH_BITS)).astype(np.float32)
+    base = prose(rng, 120).split()
+    texts = []
+    for k in range(40):
+        words = base[:]
+        for spot in rng.sample(range(120), k // 6):
+            words[spot] = f"edit{k}x{spot}"
+        texts.append(" ".join(words + words[: k % 5 * 9]))
+    column, rows = pa.array(texts), np.arange(40)
+    reach = near_dedup.may_reach(column, rows, rows, factors)
+    left, right = np.repeat(rows, 40), np.tile(rows, 40)
+    near = near_dedup.similarity(column.take(pa.array(left)), column.take(pa.array(right)), factors).reshape(40, 40) >= near_dedup.SIMILARITY
+    apart = ~np.eye(40, dtype=bool)
+    assert reach[near & apart].all() and near[apart].any() and not reach[apart].all()
+
+
+def test_pairs_that_share_boilerplate_with_many_others_meet(spark):
+    # Families of two share 85% of their words with all others, and about 0.9 of their shingles with each other.
+    rng = random.Random(21)
+    boiler = prose(rng, 850)
+    rows = []
+    for family in range(500):
+        own = " ".join(f"w{family}x{i}" for i in range(100))
+        for member in range(2):
+            rows.append((2 * family + member, f"{boiler} {own} " + " ".join(f"v{family}m{member}x{i}" for i in range(46)), "en", "s", 1))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(documents(spark, rows)).collect()}
+    apart = sum(got[2 * f] != got[2 * f + 1] for f in range(500))
+    assert apart == 0
+    assert len(set(got.values())) == 500
