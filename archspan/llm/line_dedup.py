@@ -6,8 +6,8 @@ tokens. Lines of one leaf are clustered: a line joins the template that shares
 most of its tokens, ``ALIKE`` of them at least, and positions that differ become fields
 (<*>); otherwise it starts a template. Lines enter by falling count, then hash, so
 reruns agree. A template that occurs in ``MIN_DOCS`` documents or more is
-recurring; all its lines are dropped but the first one (by doc_id, then line), so
-that no passage is lost.
+recurring, one of more than ``LONG_TOKENS`` tokens from ``LONG_DOCS`` on; all its lines
+are dropped but the first one (by doc_id, then line), so that no passage is lost.
 
 Only leaves with enough lines are clustered, and only their distinct lines are
 moved: a line that a third of all documents share is one row behind a map-side
@@ -35,6 +35,8 @@ from .common import Scratch, packed, ship, small, unpacked
 DEPTH = 3
 ALIKE = 0.6
 MIN_DOCS = 3
+#: A passage of so many tokens is no chance phrase: two documents make it recurring.
+LONG_TOKENS, LONG_DOCS = 50, 2
 MIN_TOKENS = 5
 LEAF_LINES = 2048
 FIELD = b"<*>"
@@ -58,12 +60,12 @@ def leaf_of(tokens: list[bytes]) -> int:
 
 
 def _parsed(docs: DataFrame, with_line: bool) -> DataFrame:
-    """(_k, doc_id, line, leaf, hash[, masked]) of every line of enough tokens."""
-    types = "_k long, doc_id long, line int, leaf long, hash long" + (", masked binary" if with_line else "")
+    """(_k, doc_id, line, leaf, hash, least[, masked]) of every line of enough tokens; least is the number of documents that makes it recurring."""
+    types = "_k long, doc_id long, line int, leaf long, hash long, least int" + (", masked binary" if with_line else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             size = 0
             for k, doc_id, text in zip(*batch.columns, strict=True):
                 text = text.as_py()
@@ -74,12 +76,12 @@ def _parsed(docs: DataFrame, with_line: bool) -> DataFrame:
                     if len(tokens) < MIN_TOKENS:
                         continue
                     masked = b" ".join(tokens)
-                    for column, value in zip(out, (k.as_py(), doc_id.as_py(), n, leaf_of(tokens), _hash(masked), masked), strict=True):
+                    for column, value in zip(out, (k.as_py(), doc_id.as_py(), n, leaf_of(tokens), _hash(masked), LONG_DOCS if len(tokens) > LONG_TOKENS else MIN_DOCS, masked), strict=True):
                         column.append(value)
                     size += len(masked) + 64
                 if size > 8 << 20:
                     yield _lines_batch(out, with_line)
-                    out, size = [[] for _ in range(6)], 0
+                    out, size = [[] for _ in range(7)], 0
             if out[0]:
                 yield _lines_batch(out, with_line)
 
@@ -87,8 +89,8 @@ def _parsed(docs: DataFrame, with_line: bool) -> DataFrame:
 
 
 def _lines_batch(out: list[list], with_line: bool) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())[: 5 + with_line]
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=False)], names=["_k", "doc_id", "line", "leaf", "hash", "masked"][: 5 + with_line])
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())[: 6 + with_line]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=False)], names=["_k", "doc_id", "line", "leaf", "hash", "least", "masked"][: 6 + with_line])
 
 
 def cluster(lines: list[bytes]) -> list[bytes]:
@@ -154,8 +156,8 @@ def recurring_lines(df: DataFrame, scratch: Scratch) -> DataFrame:
     ship(df.sparkSession)
     docs = df.select(F.xxhash64("doc_id", "text").alias("_k"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     lines = scratch.write(_parsed(docs, False), "lines")
-    kinds = scratch.write(lines.groupBy("leaf", "hash").agg(F.count(F.lit(1)).alias("n")), "kinds")
-    leaves = scratch.write(kinds.groupBy("leaf").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).filter(F.col("total") >= MIN_DOCS).select("leaf", "kinds"), "leaves")
+    kinds = scratch.write(lines.groupBy("leaf", "hash", "least").agg(F.count(F.lit(1)).alias("n")), "kinds")
+    leaves = scratch.write(kinds.groupBy("leaf").agg(F.sum("n").alias("total"), F.min("least").alias("least"), F.count(F.lit(1)).alias("kinds")).filter("total >= least").select("leaf", "kinds"), "leaves")
     n_leaves = leaves.count()
     candidates = _parsed(docs, True).join(small(leaves, n_leaves), "leaf").groupBy("leaf", "hash", "kinds").agg(F.count(F.lit(1)).alias("n"), F.first("masked").alias("masked"))
     candidates = candidates.withColumn("salt", F.pmod("hash", F.ceil(F.col("kinds") / LEAF_LINES)).cast("int"))
@@ -170,8 +172,8 @@ def recurring_lines(df: DataFrame, scratch: Scratch) -> DataFrame:
     named = scratch.write(templates.filter((constant >= MIN_TOKENS) & (constant >= F.size(tokens) * ALIKE)).select("leaf", "hash", F.xxhash64("leaf", "template").alias("t")), "named")
     found = lines.join(small(named, named.count()), ["leaf", "hash"])
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_k", "line")
-    each = found.groupBy("t", "_k").agg(F.min(place).alias("first"))
-    recurring = scratch.write(each.groupBy("t").agg(F.count(F.lit(1)).alias("docs"), F.min("first").alias("first")).filter(F.col("docs") >= MIN_DOCS), "recurring")
+    each = found.groupBy("t", "_k").agg(F.min(place).alias("first"), F.min("least").alias("least"))
+    recurring = scratch.write(each.groupBy("t").agg(F.count(F.lit(1)).alias("docs"), F.min("first").alias("first"), F.min("least").alias("least")).filter("docs >= least").drop("least"), "recurring")
     out = found.join(small(recurring, recurring.count()), "t").filter((F.col("_k") != F.col("first._k")) | (F.col("line") != F.col("first.line")))
     done = scratch.write(out.groupBy("_k").agg(F.sort_array(F.collect_set("line")).alias("dropped")), "dropped")
     for name in ("lines", "kinds", "leaves", "templates", "named", "recurring"):

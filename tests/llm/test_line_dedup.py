@@ -52,3 +52,11 @@ def test_awkward_rows_and_empty_table(spark):
 def test_short_lines_stay(spark):
     rows = [(i, "to be or\nnot", "en", "s", 1) for i in range(9)]
     assert all(r["dropped_lines"] == [] for r in line_dedup.marked(documents(spark, rows)).collect())
+
+
+def test_long_line_of_two_documents_goes_but_the_first(spark):
+    rng = random.Random(3)
+    passage, phrase = prose(rng, 60), prose(rng, 20)
+    rows = [(i, "\n".join([prose(rng, 30), passage, phrase]), "en", "s", 1) for i in range(2)] + [(5, prose(rng, 60), "en", "s", 1)]
+    got = {r["doc_id"]: r["dropped_lines"] for r in line_dedup.marked(documents(spark, rows)).collect()}
+    assert got == {0: [], 1: [1], 5: []}
