@@ -1,5 +1,7 @@
 import base64
+import bz2
 import gzip
+import lzma
 import random
 import re
 import urllib.parse
@@ -79,3 +81,42 @@ def test_query_columns_on_awkward_rows(spark):
     for r in got:
         assert [(f["kind"], f["start"], f["end"]) for f in r["findings"] if not f["layers"]] == base(r["text"] or "")
     assert secret_scan.scan(documents(spark, [])).collect() == []
+
+
+def test_wrapped_base64_is_one_layer():
+    for at in range(57):
+        block = base64.encodebytes(b"." * at + f" password={HEX} ".encode() + b"." * 90).decode().strip()
+        assert ("assign", block, "base64") in layered(f"see\n{block}\n"), at
+    rng = random.Random(8)
+    packed = gzip.compress(rng.randbytes(400) + f" {KEY} ".encode() + rng.randbytes(300))
+    block = base64.encodebytes(packed).decode().strip()
+    for text in (f"mail:\n\n{block}\n", f"a-header-of-17-xyz\n{block}\nRegards\n", "> " + block.replace("\n", "\r\n> ")):
+        assert any(kind == "access" and path == "base64/gzip" for kind, _, path in layered(text))
+
+
+def test_compressed_layers_are_read_to_the_end():
+    for name, squeeze in (("gzip", gzip.compress), ("bzip2", bz2.compress), ("xz", lzma.compress)):
+        for raw in (squeeze(b"nothing, " * 10) + squeeze(f"a {KEY} b".encode()), squeeze(b"\xc3\xa9, " * (5 << 20) + f" {KEY} ".encode())):
+            assert any(kind == "access" and path == f"base64/{name}" for kind, _, path in layered("x " + base64.b64encode(raw).decode() + " y")), name
+    inner = base64.b64encode(f"my {KEY} there".encode())
+    for lead in range((1 << 20) - 40, (1 << 20) + 8, 6):  # across the end of a window
+        raw = zlib.compress(b", " * (lead // 2) + b" " * (lead % 2) + inner + b" end, " * 200_000)
+        assert any(kind == "access" for kind, _, _ in layered("x " + base64.b64encode(raw).decode() + " y")), lead
+
+
+def test_deep_nesting_is_unwrapped():
+    raw = f"a {KEY} b".encode()
+    for _ in range(20):
+        raw = gzip.compress(raw)
+    assert any(kind == "access" for kind, _, _ in layered("x " + base64.b64encode(raw).decode() + " y"))
+
+
+def test_odd_characters_do_not_hide_a_layer():
+    plain = f" password={HEX} "
+    for raw in (b"\x1b[31m" + plain.encode() + b"\x1b[0m", b"\xff\xfe\x80" + plain.encode(), plain.encode("utf-16"), plain.encode("utf-16-be"), b"caf\xe9" + plain.encode()):
+        text = "x " + base64.b64encode(raw).decode() + " y"
+        assert any(kind == "assign" for kind, _, _ in layered(text)), raw
+    url = "%FF" + "".join(f"%{b:02X}" for b in f"password={HEX}".encode())
+    assert ("assign", url[3:], "url") in layered(f"see {url} end")
+    uni = "\\ud800" + "".join(f"\\u{ord(c):04x}" for c in KEY)
+    assert ("access", uni[6:], "unicode") in layered(f"see {uni} end")
