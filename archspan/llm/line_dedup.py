@@ -8,6 +8,8 @@ most of its tokens, ``ALIKE`` of them at least, and positions that differ become
 reruns agree. A template that occurs in ``MIN_DOCS`` documents or more is
 recurring, one of more than ``LONG_TOKENS`` tokens from ``LONG_DOCS`` on; all its lines
 are dropped but the first one (by doc_id, then line), so that no passage is lost.
+Templates with few constant tokens say nothing, but lines of equal tokens, fields
+included, recur by the same counts whatever their template.
 
 Only leaves with enough lines are clustered, and only their distinct lines are
 moved: a line that a third of all documents share is one row behind a map-side
@@ -60,12 +62,12 @@ def leaf_of(tokens: list[bytes]) -> int:
 
 
 def _parsed(docs: DataFrame, with_line: bool) -> DataFrame:
-    """(_k, doc_id, line, leaf, hash, least[, masked]) of every line of enough tokens; least is the number of documents that makes it recurring."""
-    types = "_k long, doc_id long, line int, leaf long, hash long, least int" + (", masked binary" if with_line else "")
+    """(_k, doc_id, line, leaf, hash, exact, least[, masked]) of every line of enough tokens; least is the number of documents that makes it recurring."""
+    types = "_k long, doc_id long, line int, leaf long, hash long, exact long, least int" + (", masked binary" if with_line else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(8)]
             size = 0
             for k, doc_id, text in zip(*batch.columns, strict=True):
                 text = text.as_py()
@@ -76,12 +78,12 @@ def _parsed(docs: DataFrame, with_line: bool) -> DataFrame:
                     if len(tokens) < MIN_TOKENS:
                         continue
                     masked = b" ".join(tokens)
-                    for column, value in zip(out, (k.as_py(), doc_id.as_py(), n, leaf_of(tokens), _hash(masked), LONG_DOCS if len(tokens) > LONG_TOKENS else MIN_DOCS, masked), strict=True):
+                    for column, value in zip(out, (k.as_py(), doc_id.as_py(), n, leaf_of(tokens), _hash(masked), _hash(b" ".join(line.split())), LONG_DOCS if len(tokens) > LONG_TOKENS else MIN_DOCS, masked), strict=True):
                         column.append(value)
                     size += len(masked) + 64
                 if size > 8 << 20:
                     yield _lines_batch(out, with_line)
-                    out, size = [[] for _ in range(7)], 0
+                    out, size = [[] for _ in range(8)], 0
             if out[0]:
                 yield _lines_batch(out, with_line)
 
@@ -89,8 +91,8 @@ def _parsed(docs: DataFrame, with_line: bool) -> DataFrame:
 
 
 def _lines_batch(out: list[list], with_line: bool) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())[: 6 + with_line]
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=False)], names=["_k", "doc_id", "line", "leaf", "hash", "least", "masked"][: 6 + with_line])
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())[: 7 + with_line]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=False)], names=["_k", "doc_id", "line", "leaf", "hash", "exact", "least", "masked"][: 7 + with_line])
 
 
 def cluster(lines: list[bytes]) -> list[bytes]:
@@ -170,13 +172,17 @@ def recurring_lines(df: DataFrame, scratch: Scratch) -> DataFrame:
     tokens = F.split(F.col("template").cast("string"), " ")
     constant = F.size(F.array_remove(tokens, FIELD.decode()))
     named = scratch.write(templates.filter((constant >= MIN_TOKENS) & (constant >= F.size(tokens) * ALIKE)).select("leaf", "hash", F.xxhash64("leaf", "template").alias("t")), "named")
-    found = lines.join(small(named, named.count()), ["leaf", "hash"])
+    equal = scratch.write(lines.groupBy("exact").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("_least")).filter("n >= _least").select("exact"), "equal")
+    where = ["_k", "doc_id", "line", "least"]
+    alike = lines.join(small(named, named.count()), ["leaf", "hash"]).select("t", *where)
+    same = lines.join(small(equal, equal.count()), "exact").select(F.xxhash64(F.lit("exact"), "exact").alias("t"), *where)
+    found = scratch.write(alike.unionByName(same), "found")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_k", "line")
     each = found.groupBy("t", "_k").agg(F.min(place).alias("first"), F.min("least").alias("least"))
     recurring = scratch.write(each.groupBy("t").agg(F.count(F.lit(1)).alias("docs"), F.min("first").alias("first"), F.min("least").alias("least")).filter("docs >= least").drop("least"), "recurring")
     out = found.join(small(recurring, recurring.count()), "t").filter((F.col("_k") != F.col("first._k")) | (F.col("line") != F.col("first.line")))
     done = scratch.write(out.groupBy("_k").agg(F.sort_array(F.collect_set("line")).alias("dropped")), "dropped")
-    for name in ("lines", "kinds", "leaves", "templates", "named", "recurring"):
+    for name in ("lines", "kinds", "leaves", "templates", "named", "equal", "found", "recurring"):
         scratch.drop(name)
     return done
 

@@ -60,3 +60,11 @@ def test_long_line_of_two_documents_goes_but_the_first(spark):
     rows = [(i, "\n".join([prose(rng, 30), passage, phrase]), "en", "s", 1) for i in range(2)] + [(5, prose(rng, 60), "en", "s", 1)]
     got = {r["doc_id"]: r["dropped_lines"] for r in line_dedup.marked(documents(spark, rows)).collect()}
     assert got == {0: [], 1: [1], 5: []}
+
+
+def test_equal_lines_go_whatever_their_share_of_fields(spark):
+    equal = "Licensed under CC BY-NC 4.0."
+    table = "12 34 56 78 90 sum 1"
+    rows = [(i, f"{equal}\n{table}\n{i} {i + 1} {i + 2} {i + 3} {i + 4} sum {i}", "en", "s", 1) for i in range(4)]
+    got = {r["doc_id"]: r["dropped_lines"] for r in line_dedup.marked(documents(spark, rows)).collect()}
+    assert got == {0: [], 1: [0, 1], 2: [0, 1], 3: [0, 1]}
