@@ -13,9 +13,9 @@ included, recur by the same counts whatever their template.
 
 Only leaves with enough lines are clustered, and only their distinct lines are
 moved: a line that a third of all documents share is one row behind a map-side
-combine. Leaves of more than ``LEAF_LINES`` distinct lines are dealt over several
-tasks and their templates clustered once more. A task streams sorted leaves and
-holds one leaf's share.
+combine. A leaf of any size is clustered by one pass in one task, which streams its
+lines and holds its templates; a line is compared only with templates that an index
+of tokens by position does not rule out.
 
 Lines of fewer than ``MIN_TOKENS`` tokens are never dropped. Null and empty texts
 have no lines to drop. Rows with equal doc_id and text count as one document.
@@ -24,7 +24,9 @@ have no lines to drop. Rows with equal doc_id and text count as one document.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +42,7 @@ MIN_DOCS = 3
 #: A passage of so many tokens is no chance phrase: two documents make it recurring.
 LONG_TOKENS, LONG_DOCS = 50, 2
 MIN_TOKENS = 5
+#: Lines of a leaf that are sent on at a time.
 LEAF_LINES = 2048
 FIELD = b"<*>"
 _VARIABLE = re.compile(rb"[0-9@]|://")
@@ -95,62 +98,93 @@ def _lines_batch(out: list[list], with_line: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=False)], names=["_k", "doc_id", "line", "leaf", "hash", "exact", "least", "masked"][: 7 + with_line])
 
 
+class Templates:
+    """Templates of one leaf, all with ``width`` tokens."""
+
+    def __init__(self, width: int):
+        self.width, self.n = width, 0
+        self.made = np.zeros((16, width), np.int64)
+        self.codes: dict[bytes, int] = {FIELD: 0}
+        self.names = [FIELD]
+        self.least = math.ceil(ALIKE * width)
+        #: By position and code, the templates that have, or once had, the code there.
+        self.at: dict[tuple[int, int], list[int]] = defaultdict(list)
+
+    def join(self, line: bytes) -> int:
+        """Number of the template that the line joins or starts."""
+        tokens = line.split(b" ")
+        row = np.array([self.codes.get(token, -1) for token in tokens], np.int64)
+        # Of so many positions one is shared by every template that is alike enough: those with the fewest templates are asked.
+        lists = sorted((self.at.get(key, ()) for key in enumerate(row.tolist())), key=len)[: self.width - self.least + 1]
+        near = np.array(sorted({k for some in lists for k in some}), np.int64)
+        if len(near):
+            same = (self.made[near] == row).sum(1)
+            best = int(same.argmax())
+            if same[best] >= self.least:
+                number = int(near[best])
+                for i in np.flatnonzero((self.made[number] != row) & (self.made[number] != 0)).tolist():
+                    self.made[number, i] = 0
+                    self.at[i, 0].append(number)
+                return number
+        for i, token in enumerate(tokens):
+            if row[i] < 0:
+                if token not in self.codes:
+                    self.codes[token] = len(self.names)
+                    self.names.append(token)
+                row[i] = self.codes[token]
+            self.at[i, int(row[i])].append(self.n)
+        if self.n == len(self.made):
+            self.made = np.concatenate([self.made, np.zeros_like(self.made)])
+        self.made[self.n] = row
+        self.n += 1
+        return self.n - 1
+
+    def texts(self) -> list[bytes]:
+        return [b" ".join(self.names[c] for c in row) for row in self.made[: self.n].tolist()]
+
+
 def cluster(lines: list[bytes]) -> list[bytes]:
     """Template of each line of one leaf; all have the same number of tokens."""
-    codes: dict[bytes, int] = {FIELD: 0}
-    names = [FIELD]
-    width = len(lines[0].split(b" "))
-    made = np.zeros((16, width), np.int64)
-    n = 0
-    member = []
-    for line in lines:
-        row = np.empty(width, np.int64)
-        for i, token in enumerate(line.split(b" ")):
-            if token not in codes:
-                codes[token] = len(names)
-                names.append(token)
-            row[i] = codes[token]
-        best = -1
-        if n:
-            same = (made[:n] == row).sum(1)
-            best = int(same.argmax())
-            if same[best] < ALIKE * width:
-                best = -1
-        if best < 0:
-            if n == len(made):
-                made = np.concatenate([made, np.zeros_like(made)])
-            made[n] = row
-            best, n = n, n + 1
-        else:
-            made[best][made[best] != row] = 0
-        member.append(best)
-    texts = [b" ".join(names[c] for c in made[i]) for i in range(n)]
+    made = Templates(len(lines[0].split(b" ")))
+    member = [made.join(line) for line in lines]
+    texts = made.texts()
     return [texts[m] for m in member]
 
 
-def _clustered(rows: DataFrame, *deal: str) -> DataFrame:
-    """(leaf, hash, template) of rows (leaf, salt, hash, n, masked)."""
+def _clustered(rows: DataFrame) -> DataFrame:
+    """Of rows (leaf, hash, n, masked): (leaf, hash, place) of every line and (leaf, place, template) of every template."""
 
-    def emit(keys: list[tuple[int, int]], lines: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(cluster(lines), pa.binary())], names=["leaf", "hash", "template"]
-        )
+    def lines_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else ((), (), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["leaf", "hash", "place", "template"])
+
+    def place(at: tuple[int, int], number: int) -> int:
+        return _hash(b"%d %d %d" % (*at, number))
+
+    def ended(at: tuple[int, int], made: Templates) -> Iterator[pa.RecordBatch]:
+        texts = made.texts()
+        for lo in range(0, len(texts), LEAF_LINES):
+            yield lines_of([(at[0], None, place(at, lo + i), text) for i, text in enumerate(texts[lo : lo + LEAF_LINES])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, keys, lines = None, [], []
+        at, made, out = None, None, []
         for batch in batches:
-            for leaf, salt, key, masked in zip(*[batch.column(i).to_pylist() for i in (0, 1, 2, 4)], strict=True):
-                if (leaf, salt, masked.count(b" ")) != at:
-                    if lines:
-                        yield emit(keys, lines)
-                    at, keys, lines = (leaf, salt, masked.count(b" ")), [], []
-                keys.append((leaf, key))
-                lines.append(masked)
-        if lines:
-            yield emit(keys, lines)
-
-    dealt = rows.select("leaf", "salt", "hash", "n", "masked").repartition(*deal).sortWithinPartitions("leaf", "salt", F.length("masked") - F.length(F.replace(F.col("masked").cast("string"), F.lit(" "), F.lit(""))), F.desc("n"), "hash")
-    return dealt.mapInArrow(run, "leaf long, hash long, template binary")
+            for leaf, key, masked in zip(*[batch.column(i).to_pylist() for i in (0, 1, 3)], strict=True):
+                if (leaf, masked.count(b" ")) != at:
+                    if made:
+                        yield from ended(at, made)
+                    at = (leaf, masked.count(b" "))
+                    made = Templates(at[1] + 1)
+                out.append((leaf, key, place(at, made.join(masked)), None))
+                if len(out) >= LEAF_LINES:
+                    yield lines_of(out)
+                    out = []
+        yield lines_of(out)
+        if made:
+            yield from ended(at, made)
+
+    dealt = rows.select("leaf", "hash", "n", "masked").repartition("leaf").sortWithinPartitions("leaf", F.length("masked") - F.length(F.replace(F.col("masked").cast("string"), F.lit(" "), F.lit(""))), F.desc("n"), "hash")
+    return dealt.mapInArrow(run, "leaf long, hash long, place long, template binary")
 
 
 def recurring_lines(df: DataFrame, scratch: Scratch) -> DataFrame:
@@ -159,30 +193,25 @@ def recurring_lines(df: DataFrame, scratch: Scratch) -> DataFrame:
     docs = df.select(F.xxhash64("doc_id", "text").alias("_k"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     lines = scratch.write(_parsed(docs, False), "lines")
     kinds = scratch.write(lines.groupBy("leaf", "hash", "least").agg(F.count(F.lit(1)).alias("n")), "kinds")
-    leaves = scratch.write(kinds.groupBy("leaf").agg(F.sum("n").alias("total"), F.min("least").alias("least"), F.count(F.lit(1)).alias("kinds")).filter("total >= least").select("leaf", "kinds"), "leaves")
+    leaves = scratch.write(kinds.groupBy("leaf").agg(F.sum("n").alias("total"), F.min("least").alias("least")).filter("total >= least").select("leaf"), "leaves")
     n_leaves = leaves.count()
-    candidates = _parsed(docs, True).join(small(leaves, n_leaves), "leaf").groupBy("leaf", "hash", "kinds").agg(F.count(F.lit(1)).alias("n"), F.first("masked").alias("masked"))
-    candidates = candidates.withColumn("salt", F.pmod("hash", F.ceil(F.col("kinds") / LEAF_LINES)).cast("int"))
-    templates = scratch.write(_clustered(candidates, "leaf", "salt"), "templates")
-    if leaves.filter(F.col("kinds") > LEAF_LINES).take(1):
-        big = templates.join(leaves.filter(F.col("kinds") > LEAF_LINES).select("leaf"), "leaf", "left_semi")
-        again = big.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n")).select("leaf", F.lit(0).alias("salt"), F.xxhash64("template").alias("hash"), "n", F.col("template").alias("masked"))
-        merged = _clustered(again, "leaf").withColumnsRenamed({"hash": "_t", "template": "_final"})
-        templates = templates.withColumn("_t", F.xxhash64("template")).join(merged, ["leaf", "_t"], "left").select("leaf", "hash", F.coalesce("_final", "template").alias("template"))
+    candidates = _parsed(docs, True).join(small(leaves, n_leaves), "leaf").groupBy("leaf", "hash").agg(F.count(F.lit(1)).alias("n"), F.first("masked").alias("masked"))
+    templates = scratch.write(_clustered(candidates), "templates")
     tokens = F.split(F.col("template").cast("string"), " ")
     constant = F.size(F.array_remove(tokens, FIELD.decode()))
-    named = scratch.write(templates.filter((constant >= MIN_TOKENS) & (constant >= F.size(tokens) * ALIKE)).select("leaf", "hash", F.xxhash64("leaf", "template").alias("t")), "named")
+    telling = scratch.write(templates.filter("template is not null").filter((constant >= MIN_TOKENS) & (constant >= F.size(tokens) * ALIKE)).select("place", F.xxhash64("leaf", "template").alias("t")), "telling")
+    named = scratch.write(templates.filter("template is null").select("leaf", "hash", "place").join(small(telling, telling.count()), "place").select("leaf", "hash", "t"), "named")
     equal = scratch.write(lines.groupBy("exact").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("_least")).filter("n >= _least").select("exact"), "equal")
     where = ["_k", "doc_id", "line", "least"]
     alike = lines.join(small(named, named.count()), ["leaf", "hash"]).select("t", *where)
     same = lines.join(small(equal, equal.count()), "exact").select(F.xxhash64(F.lit("exact"), "exact").alias("t"), *where)
     found = scratch.write(alike.unionByName(same), "found")
-    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_k", "line")
-    each = found.groupBy("t", "_k").agg(F.min(place).alias("first"), F.min("least").alias("least"))
+    first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_k", "line")
+    each = found.groupBy("t", "_k").agg(F.min(first).alias("first"), F.min("least").alias("least"))
     recurring = scratch.write(each.groupBy("t").agg(F.count(F.lit(1)).alias("docs"), F.min("first").alias("first"), F.min("least").alias("least")).filter("docs >= least").drop("least"), "recurring")
     out = found.join(small(recurring, recurring.count()), "t").filter((F.col("_k") != F.col("first._k")) | (F.col("line") != F.col("first.line")))
     done = scratch.write(out.groupBy("_k").agg(F.sort_array(F.collect_set("line")).alias("dropped")), "dropped")
-    for name in ("lines", "kinds", "leaves", "templates", "named", "equal", "found", "recurring"):
+    for name in ("lines", "kinds", "leaves", "templates", "telling", "named", "equal", "found", "recurring"):
         scratch.drop(name)
     return done
 

@@ -68,3 +68,44 @@ def test_equal_lines_go_whatever_their_share_of_fields(spark):
     rows = [(i, f"{equal}\n{table}\n{i} {i + 1} {i + 2} {i + 3} {i + 4} sum {i}", "en", "s", 1) for i in range(4)]
     got = {r["doc_id"]: r["dropped_lines"] for r in line_dedup.marked(documents(spark, rows)).collect()}
     assert got == {0: [], 1: [0, 1], 2: [0, 1], 3: [0, 1]}
+
+
+def plain_templates(lines):
+    """The single pass, written plainly: every line against every template."""
+    made, member = [], []
+    for tokens in (x.split() for x in lines):
+        same = [sum(a == b for a, b in zip(m, tokens, strict=True)) for m in made]
+        best = max(range(len(made)), key=lambda i: (same[i], -i), default=-1)
+        if best < 0 or same[best] < line_dedup.ALIKE * len(tokens):
+            best = len(made)
+            made.append(tokens[:])
+        made[best] = [a if a == b else b"<*>" for a, b in zip(made[best], tokens, strict=True)]
+        member.append(best)
+    return [b" ".join(made[m]) for m in member]
+
+
+def hot_leaf(n):
+    rng = random.Random(12)
+    kinds = [["one", "two", "three", *(rng.choice("abcdefgh") + str(rng.choice("xyz")) for _ in range(9))] for _ in range(60)]
+    out = []
+    for _ in range(n):
+        words = rng.choice(kinds)[:]
+        for spot in rng.sample(range(3, 12), rng.randint(0, 5)):
+            words[spot] = rng.choice(["<*>", "new", f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}"])
+        out.append(" ".join(words).encode())
+    return list(dict.fromkeys(out))
+
+
+def test_templates_equal_the_plain_single_pass():
+    lines = hot_leaf(1500)
+    assert line_dedup.cluster(lines) == plain_templates(lines)
+
+
+def test_large_leaf_is_clustered_as_by_one_pass(spark):
+    lines = hot_leaf(4000)
+    assert len(lines) > line_dedup.LEAF_LINES
+    rows = spark.createDataFrame([(7, i, 1, x) for i, x in enumerate(lines)], "leaf long, hash long, n long, masked binary").repartition(4)
+    got = line_dedup._clustered(rows).collect()
+    texts = {r["place"]: bytes(r["template"]) for r in got if r["template"] is not None}
+    by = {r["hash"]: texts[r["place"]] for r in got if r["template"] is None}
+    assert [by[i] for i in range(len(lines))] == line_dedup.cluster(lines)
