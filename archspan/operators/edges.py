@@ -120,14 +120,18 @@ def merge_verified(edges: DataFrame, verified: DataFrame) -> DataFrame:
 
 
 def prefixes(repos: list[str]) -> dict[str, str]:
-    """A short prefix for each package, no two alike: initials of two parts, or two letters, and more letters as needed."""
+    """A short prefix for each package, no two alike: initials of two parts, or two letters, and more letters as needed.
+
+    None ends with a digit, so that prefix and number are read in one way only.
+    """
     out: dict[str, str] = {}
     for repo in repos:
         parts = repo.replace("-", " ").split()
         base = parts[0][0] + parts[1][0] if len(parts) >= 2 else repo[:2]
-        taken, prefix, n = set(out.values()), base, 2
+        closed = lambda x: x + "_" if x[-1:].isdigit() else x
+        taken, prefix, n = set(out.values()), closed(base), 2
         while prefix in taken:
-            prefix = base + (repo[n] if n < len(repo) else str(n))
+            prefix = closed(base + (repo[n] if n < len(repo) else str(n)))
             n += 1
         out[repo] = prefix
     return out

@@ -235,6 +235,10 @@ _query(
     "enclosing_entity_asof",
     _with("lines") + "select concat('d',doc_id) as path, line_no*7 as ref_id, cast(line_no as int) as ref_line, concat('fn', ((line_no-1)//10)*10+1) as name from lines where line_no%7=0",
 )(lambda s, d: ranges.enclosing(ranges.source_lines(_files(s, d)).filter("line_no % 7 = 0").select("path", (F.col("line_no") * 7).alias("ref_id"), F.col("line_no").alias("ref_line")), _starts(s, d)))
+_query(
+    "enclosing_entity_asof_all",
+    _with("lines") + "select concat('d',doc_id) as path, line_no*7 as ref_id, cast(line_no as int) as ref_line, concat('fn', ((line_no-1)//10)*10+1) as name from lines",
+)(lambda s, d: ranges.enclosing(ranges.source_lines(_files(s, d)).select("path", (F.col("line_no") * 7).alias("ref_id"), F.col("line_no").alias("ref_line")), _starts(s, d)))
 _query(
     "diff_overlap",
     _with("lines", recursive=f"starts as ({_STARTS}), bodies as (select doc_id, name, line_no as a, coalesce(lead(line_no) over (partition by doc_id order by line_no)-1, line_no+200) as b from starts)") + "select distinct concat('d',doc_id) as path, name, cast(a as int) as line from bodies where a<=doc_id%40+3 and b>=doc_id%40+1",
@@ -429,6 +433,11 @@ def _roundtrip(spark, sf_dir):
     return factmap.graph_of(factmap.parse_texts(text)).modules
 
 
+# Whole projections, without SQL: the prefixes of all packages and the facts of all parts.
+_QUERIES["short_ids_all"] = lambda s, d: E.short_ids(P.modules(s, d))
+_QUERIES["fact_lines_all"] = lambda s, d: factmap.fact_text(P.graph(s, d)).select("part", "fact")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["boundary"](spark, sf_dir)
 

@@ -198,7 +198,7 @@ def fact_text(graph: Graph) -> DataFrame:
     flag = lambda name, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f" :{name} "), _atom(F.col(c)))).otherwise("")
     nodes = graph.modules.join(ids, "module").select(F.lit(2).alias("part"), F.col("module").alias("sort"), F.concat(F.lit("(node "), "sid", F.lit(" "), "lang", F.lit(" "), _quoted(F.coalesce("purpose", F.lit(""))), flag("naming", "naming"), flag("pkg", "pkg"), F.lit(")")).alias("fact"))
     listed = lambda name, c: F.when(F.size(c) > 0, F.concat(F.lit(f" (:{name} "), F.array_join(F.transform(c, _atom), " "), F.lit(")"))).otherwise("")
-    entities = graph.entities.join(ids, "module").select(
+    entities = graph.entities.join(ids, "module", "left").withColumn("sid", F.coalesce("sid", _atom(F.col("module")))).select(
         F.lit(3).alias("part"), F.concat_ws(" ", "module", F.lpad(F.col("line").cast("string"), 9, "0"), "name").alias("sort"),
         F.concat(F.lit("("), "kind", F.lit(" "), "sid", F.lit(" "), _atom(F.col("name")), F.lit(" "), F.col("line").cast("string"), listed("bases", "bases"), listed("deco", "deco"), listed("methods", "methods"), F.lit(")")).alias("fact"),
     )
