@@ -111,6 +111,7 @@ def link(turns: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
 def messages(turns: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
     """(conv_id, position, turn, role, n_calls, n_invalid, linked, message) for each turn.
 
+    n_invalid counts calls whose arguments are no JSON, and with ``schemas`` those that do not fit.
     position counts from 0 in topological order. linked is null for turns that
     are no tool results, else whether the call exists. message is canonical JSON.
     """
@@ -125,19 +126,19 @@ def messages(turns: DataFrame, schemas: dict[str, dict] | None = None) -> DataFr
     own = F.coalesce("turn", F.lit(_LAST))
     place = F.greatest(own, F.coalesce("_at", own))
     rows = rows.withColumns({"_place": place, "_late": (place != own).cast("int"), "_own": own})
-    bad = F.lit(0)
-    if schemas:
-        def wrong(c: Column) -> Column:
-            raw = F.coalesce(F.try_variant_get(c, "$.function.arguments", "variant"), F.try_variant_get(c, "$.arguments", "variant"))
-            arguments = F.when(F.schema_of_variant(raw) == "STRING", F.try_parse_json(F.try_variant_get(raw, "$", "string"))).otherwise(raw)
-            name = F.coalesce(F.try_variant_get(c, "$.function.name", "string"), F.try_variant_get(c, "$.name", "string"))
-            fails = F.lit(False)
-            for tool, schema in schemas.items():
-                fails = F.when(name == tool, ~validates(arguments, schema)).otherwise(fails)
-            return F.coalesce(fails, F.lit(False))
-
-        bad = F.coalesce(F.size(F.filter("_calls", wrong)), F.lit(0))
-        bad = F.greatest(bad, F.lit(0))
+
+    def wrong(c: Column) -> Column:
+        raw = F.coalesce(F.try_variant_get(c, "$.function.arguments", "variant"), F.try_variant_get(c, "$.arguments", "variant"))
+        in_text = F.schema_of_variant(raw) == "STRING"
+        parsed_text = F.try_parse_json(F.try_variant_get(raw, "$", "string"))
+        arguments = F.when(in_text, parsed_text).otherwise(raw)
+        name = F.coalesce(F.try_variant_get(c, "$.function.name", "string"), F.try_variant_get(c, "$.name", "string"))
+        fails = in_text & parsed_text.isNull()  # no JSON, whatever the tool
+        for tool, schema in schemas.items():
+            fails = F.when(name == tool, ~validates(arguments, schema)).otherwise(fails)
+        return F.coalesce(fails, F.lit(False))
+
+    bad = F.greatest(F.coalesce(F.size(F.filter("_calls", wrong)), F.lit(0)), F.lit(0))
     # The keys of the object are sorted: content, role, then tool_call_id or tool_calls.
     plain = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("content"), F.col("role")))
     tool = F.concat(F.lit('{"content":'), F.coalesce(F.to_json(F.try_variant_get("_j", "$.content", "variant")), F.lit('""')), F.lit(',"role":"tool","tool_call_id":'), F.substring_index(F.to_json(F.struct(F.col("_id").alias("i"))), '{"i":', -1))

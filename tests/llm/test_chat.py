@@ -59,3 +59,10 @@ def test_long_conversation_is_numbered_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(chat, "BLOCK_TURNS", 16)
     df = spark.range(200).selectExpr("cast(5 as long) as conv_id", "id as turn", "'user' as role", "'t' as text")
     assert all(r["position"] == r["turn"] for r in chat.messages(df).collect())
+
+
+def test_arguments_that_are_no_json_are_invalid_without_a_schema(spark):
+    text = '{"tool_calls":[{"id":"a","name":"f","arguments":"{broken"},{"id":"b","name":"f","arguments":"{}"},{"id":"c","name":"f","arguments":{"x":1}},{"id":"d","name":"f"}]}'
+    turns = spark.createDataFrame([(1, 0, "assistant", text), (1, 1, "user", "hi")], "conv_id long, turn long, role string, text string")
+    got = {r["turn"]: (r["n_calls"], r["n_invalid"]) for r in chat.messages(turns).collect()}
+    assert got == {0: (4, 1), 1: (0, 0)}
