@@ -76,3 +76,64 @@ def test_empty_tables(spark):
     assert decontaminate.decontaminate(documents(spark, []), items_frame(spark, items)).collect() == []
     rows = decontaminate.decontaminate(documents(spark), items_frame(spark, [])).collect()
     assert {r["n_hit"] for r in rows} == {0}
+
+
+def runs(text, items):
+    """(item, item word, first word, words) of the longest runs by brute force."""
+    words = WORD.findall(lower(text))
+    places = {}
+    for item_id, item in items:
+        w = WORD.findall(lower(item))
+        size = min(13, len(w))
+        for k in range(len(w) - size + 1 if w else 0):
+            for i in range(len(words) - size + 1):
+                if words[i : i + size] == w[k : k + size]:
+                    places.setdefault(item_id, {}).setdefault(i, []).append((k, size))
+    found = []
+    for item_id, at in places.items():
+        last = None
+        for i in sorted(at):
+            end = i + max(size for _, size in at[i])
+            if last is not None and i == last + 1:
+                found[-1][3] = max(found[-1][3], end - found[-1][2])
+            else:
+                found.append([None if item_id is None else str(item_id), min(k for k, _ in at[i]), i, end - i])
+            last = i
+    return sorted(map(tuple, found), key=str)
+
+
+@pytest.mark.parametrize("pairs", [decontaminate.PAIRS, 7])
+def test_longest_runs_equal_brute_force(spark, monkeypatch, pairs):
+    monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+    rng = random.Random(3)
+    words = "a b c d e".split()
+    items = [(k, " ".join(rng.choice(words) for _ in range(n))) for k, n in enumerate([3, 4, 14, 15, 20, 30, 2])]
+    items += [(7, "a " * 40), (7, "b a " * 20), (None, "c " * 16)]
+    texts = [" ".join(rng.choice(words) for _ in range(200)) for _ in range(6)] + [t * 2 for _, t in items] + ["a " * 90 + "z " + "a " * 13]
+    block = decontaminate.Items([(None if i is None else str(i), t) for i, t in items])
+    import pyarrow as pa
+
+    from archspan.llm import textbytes
+
+    for lo, hi, data, offsets in textbytes.groups(pa.array(texts), 1 << 20):
+        _, found = decontaminate._shard_matches(data, offsets, block)
+        for i in range(hi - lo):
+            got = sorted(((m["item_id"], m["item_word"], m["doc_word"], m["n_words"]) for m in found.get(i, [])), key=str)
+            assert got == runs(texts[lo + i], items)
+
+
+def test_finds_of_repetitive_items_and_documents_stay_linear():
+    import numpy as np
+
+    items = decontaminate.Items([("a", "go " * 2_000), ("b", "go stay " * 1_000)])
+    z = np.r_[np.full(50_000, items.words[0], np.int64), np.zeros(items.depth + 1, np.int64)]
+    window, place = decontaminate.occurrences(z, decontaminate.suffix_array(z, items.depth), items)
+    assert len(window) == len(place) == 50_000 - 12
+
+
+def test_very_long_document(spark):
+    items, _ = fixture()
+    rng = random.Random(1)
+    text = prose(rng, 400_000) + " " + items[0][1] + " " + prose(rng, 1_000)
+    row = decontaminate.decontaminate(documents(spark, [(1, text, None, None, None)]), items_frame(spark, items)).first()
+    assert (row["n_words"], row["n_hit"], row["n_items"], row["contaminated"]) == (401_040, 40, 1, False)
