@@ -56,11 +56,20 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 
 _SHIPPED: set[str] = set()
+#: Bytes of rows that go to a Python worker at a time; buffers on both sides hold a multiple.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, whose Python workers import it."""
+    """Send this package to the executors, whose Python workers import it.
+
+    Also lowers the session's bytes of an Arrow batch to ``BATCH_BYTES``, if they are
+    more: rows hold whole texts, and ten thousand of them are too many to buffer at once.
+    """
     context = spark.sparkContext
+    if int("".join(filter(str.isdigit, spark.conf.get(_BATCH_SETTING)))) > BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
     if context.applicationId in _SHIPPED:
         return
     _SHIPPED.add(context.applicationId)

@@ -1,17 +1,17 @@
 """Near-duplicate classes by consistent weighted sampling over TF-IDF shingles.
 
 Shingles are five words (lower-cased A-Z, cut at ASCII punctuation). A shingle's
-weight in a document is lift(ln tf) * lift(ln(N / df)), where lift(x) runs from 1 to
-1.05: 1 + 0.05 * min(x, ln 256) / ln 256. The narrow range keeps two near copies
-of a group that holds a third of the table as similar as two of a pair, where a wide
-idf lets their rare differences outweigh all that they share (with a range of
-1.25, copies of a large group at 0.81 fell below the threshold), and keeps edits
-of repetitive texts as telling as those of others.
+weight in a document is (1 + ln tf) * min(idf, the median idf of the document's
+shingles), with idf = ln(1 + N / df): what many documents share counts little in a
+document of its own, and no shingle counts more than the document's typical one. Without
+that bound the rare edits of a copy would outweigh all that a group shares once the
+group holds a good part of the table; with it, copies in groups of any size are as
+similar as in a pair.
 
 1. Document frequencies: every task adds its documents to a count-min sketch of
-   fixed size; sketches are summed part by part as streams. A document adds
+   fixed size; sketches are summed part by part as streams, in two levels. A document adds
    about its number of distinct shingles to a row of 2**20 counters, so the
-   sketch's error is the same share of N at any N, below the df at which idf is clipped.
+   sketch's error is the same share of N at any N; df counts as N / ``CLIP`` at least.
 2. Texts: one row per distinct text (128-bit md5), so exact copies cost one
    counter each and meet in a map-side combine.
 3. Samples: ``BANDS * ROWS`` improved consistent weighted samples a text, hashed in
@@ -23,9 +23,9 @@ of repetitive texts as telling as those of others.
    are one component before any pairs are made.
 4. Verification: exact weighted Jaccard of the two whole texts, at least ``SIMILARITY``.
    Then every pair of a bucket that the leaders left in different components is
-   decided: a bucket's members are dealt to blocks of ``BLOCK``, by component, and
-   every two blocks with different components are compared as a whole. A bound
-   that never falls below the similarity picks the pairs to verify. Pairs of one
+   decided: a bucket's members are dealt to blocks of about ``BLOCK``, large components to
+   blocks of their own, and every two blocks with different components are compared as a
+   whole. A bound that never falls below the similarity picks the pairs to verify. Pairs of one
    component are not compared, so work is linear in the copies of a text and
    quadratic only in members of one bucket that are no copies of each other.
 5. Classes: connected components of the links by least labels with pointer
@@ -51,7 +51,7 @@ from .common import Scratch, packed, ship, small, unpacked
 
 SIMILARITY = 0.8
 WIDTH = 5
-BANDS, ROWS = 12, 3
+BANDS, ROWS = 14, 4
 #: Members and bytes of text of a block, about.
 BLOCK, BLOCK_BYTES = 128, 1 << 22
 #: Shingles that are compared at a time.
@@ -59,7 +59,9 @@ COLUMNS = 4096
 #: Count-min sketch of document frequencies.
 SKETCH_ROWS, SKETCH_BITS = 2, 20
 PARTS = 16
-CLIP, LIFT = 256.0, 0.05
+#: First-level sums of a part of the sketch.
+LANES = 64
+CLIP = 4096.0
 GROUP_BYTES = 1 << 19
 U = np.uint64
 
@@ -73,19 +75,19 @@ def _key(text="text"):
 
 
 def frequencies(docs: DataFrame) -> np.ndarray:
-    """ln(N / df) of every counter, as float32 of shape (SKETCH_ROWS, 2**SKETCH_BITS)."""
+    """ln(1 + N / df) of every counter, as float32 of shape (SKETCH_ROWS, 2**SKETCH_BITS)."""
     size = 1 << SKETCH_BITS
     step = size // PARTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((SKETCH_ROWS, size), np.uint32)
+        total = np.zeros((SKETCH_ROWS, size), np.int64)
         n = 0
         for batch in batches:
             n += batch.num_rows
             for _, _, data, offsets in textbytes.groups(batch.column(0), GROUP_BYTES):
                 _, shingle, _ = textbytes.shingles(data, offsets, WIDTH)
                 for row in range(SKETCH_ROWS):
-                    total[row] += np.bincount(_slots(shingle, row), minlength=size).astype(np.uint32)
+                    np.add.at(total[row], _slots(shingle, row), 1)
         if n:
             flat = total.reshape(SKETCH_ROWS * PARTS, step)
             yield pa.RecordBatch.from_arrays(
@@ -93,20 +95,32 @@ def frequencies(docs: DataFrame) -> np.ndarray:
                 names=["part", "n", "counts"],
             )
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(batches: Iterator[pa.RecordBatch]) -> tuple[dict[int, np.ndarray], dict[int, int]]:
         sums: dict[int, np.ndarray] = {}
         seen: dict[int, int] = {}
         for batch in batches:
-            for part, n, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                got = np.frombuffer(zlib.decompress(counts), np.uint32).astype(np.int64)
-                sums[part] = sums[part] + got if part in sums else got
-                seen[part] = seen.get(part, 0) + n
+            for part, n, counts in zip(batch.column("part"), batch.column("n"), batch.column("counts"), strict=True):
+                got = np.frombuffer(zlib.decompress(counts.as_py()), np.int64)
+                key = part.as_py()
+                sums[key] = sums[key] + got if key in sums else got
+                seen[key] = seen.get(key, 0) + n.as_py()
+        return sums, seen
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, seen = summed(batches)
         for part, total in sums.items():
-            idf = np.log(np.maximum(seen[part], 1) / np.maximum(total, 1))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seen[part]], pa.int64()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["part", "n", "counts"])
+
+    def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, seen = summed(batches)
+        for part, total in sums.items():
+            n = max(seen[part], 1)
+            idf = np.log1p(n / np.maximum(total, n / CLIP))
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([idf.astype(np.float32).tobytes()], pa.binary())], names=["part", "idf"])
 
-    sketches = docs.select("text").mapInArrow(count, "part int, n long, counts binary")
-    parts = sketches.repartition(SKETCH_ROWS * PARTS, "part").mapInArrow(add, "part int, idf binary")
+    sketches = docs.select("text").mapInArrow(count, "part int, n long, counts binary").withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(LANES)))
+    lanes = sketches.repartition("part", "lane").select("part", "n", "counts").mapInArrow(add, "part int, n long, counts binary")
+    parts = lanes.repartition("part").mapInArrow(end, "part int, idf binary")
     out = np.zeros((SKETCH_ROWS * PARTS, step), np.float32)
     for part, idf in parts.collect():  # 8 MB at any input size
         out[part] = np.frombuffer(idf, np.float32)
@@ -120,12 +134,14 @@ def _idf(shingle: np.ndarray, table: np.ndarray) -> np.ndarray:
     return idf
 
 
-def _lifted(value: np.ndarray) -> np.ndarray:
-    return 1 + LIFT / np.log(CLIP) * np.clip(value, 0, np.log(CLIP))
-
-
-def _weights(count: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return (_lifted(np.log(count)) * _lifted(idf)).astype(np.float32)
+def _weights(doc: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Weights of shingles that are grouped by ``doc``, numbers below 2**20."""
+    if not len(doc):
+        return np.zeros(0, np.float32)
+    starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    n = np.diff(np.r_[starts, len(doc)])
+    middle = np.sort(doc * 16.0 + idf)[starts + (n - 1) // 2] - doc[starts] * 16.0  # exact: idf is float32 and below 16
+    return ((1 + np.log(count)) * np.minimum(idf, np.repeat(middle, n))).astype(np.float32)
 
 
 def _uniform(bits: np.ndarray, width: int) -> np.ndarray:
@@ -160,7 +176,7 @@ def _bands(column: pa.Array, table: np.ndarray) -> tuple[pa.Array, pa.Array]:
         if not len(doc):
             continue
         idf = _idf(shingle, table)
-        weight = _weights(count, idf)
+        weight = _weights(doc, count, idf)
         starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
         rows = lo + doc[starts]
         has[rows] = True
@@ -200,7 +216,7 @@ def similarity(left: pa.Array, right: pa.Array, table: np.ndarray) -> np.ndarray
             parts = []
             for at, _, data, offsets in textbytes.groups(column.slice(lo, hi - lo), 1 << 62):
                 doc, shingle, count = textbytes.shingles(data, offsets, WIDTH)
-                parts.append(((doc + at).astype(U) << U(52) | shingle, _weights(count, _idf(shingle, table)).astype(np.float64)))
+                parts.append(((doc + at).astype(U) << U(52) | shingle, _weights(doc, count, _idf(shingle, table)).astype(np.float64)))
             sides.append([np.concatenate(x) for x in zip(*parts, strict=True)])
         (ka, wa), (kb, wb) = sides
         total = np.bincount((ka >> U(52)).astype(np.int64), wa, hi - lo) + np.bincount((kb >> U(52)).astype(np.int64), wb, hi - lo)
@@ -233,10 +249,15 @@ def _pairs(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
 def _blocks(followers: DataFrame, labels: DataFrame, n_labels: int, scratch: Scratch) -> DataFrame:
     """(task, side, tkey, label): two blocks of a bucket for every task, or one that is compared with itself (side 2)."""
     named = followers.join(small(labels.withColumnRenamed("node", "tkey"), n_labels), "tkey", "left").withColumn("label", F.coalesce("label", "tkey"))
-    enough = lambda: F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int")
-    buckets = named.groupBy("band").agg(enough().alias("lanes"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi").select("band", "lanes")
-    laned = scratch.write(named.join(buckets, "band").withColumn("lane", F.pmod(F.xxhash64("label"), "lanes").cast("int")).drop("lanes"), "laned")
-    parts = laned.groupBy("band", "lane").agg(enough().alias("parts"))
+    enough = lambda n, size: F.ceil(F.greatest(F.sum(n) / BLOCK, F.sum(size) / BLOCK_BYTES)).cast("int")
+    held = scratch.write(named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("size")).withColumn("large", (F.col("n") * 2 >= BLOCK) | (F.col("size") * 2 >= BLOCK_BYTES)), "held")
+    few = lambda c: F.when(F.col("large"), F.lit(0)).otherwise(F.col(c))
+    buckets = held.groupBy("band").agg(enough(few("n"), few("size")).alias("lanes"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("band", "lanes")
+    spread = F.xxhash64("label")
+    lane = F.when(F.col("large"), F.bitwise_not(F.shiftrightunsigned(spread, 1))).otherwise(F.pmod(spread, F.greatest("lanes", F.lit(1))))
+    lanes = held.join(buckets, "band").select("band", "label", lane.alias("lane"))
+    laned = scratch.write(named.join(lanes, ["band", "label"]), "laned")
+    parts = laned.groupBy("band", "lane").agg(enough(F.lit(1), "bytes").alias("parts"))
     dealt = laned.join(parts, ["band", "lane"]).withColumn("block", F.struct("lane", F.pmod(F.xxhash64("tkey"), "parts").cast("int").alias("part")))
     dealt = scratch.write(dealt.select("band", "block", "tkey", "label"), "dealt")
     held = dealt.groupBy("band", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
@@ -258,7 +279,7 @@ def may_reach(texts: pa.Array, left: np.ndarray, right: np.ndarray, table: np.nd
     made = []
     for lo, _, data, offsets in textbytes.groups(texts, GROUP_BYTES):
         doc, shingle, count = textbytes.shingles(data, offsets, WIDTH)
-        made.append((doc + lo, shingle, _weights(count, _idf(shingle, table))))
+        made.append((doc + lo, shingle, _weights(doc, count, _idf(shingle, table))))
     doc, shingle, weight = (np.concatenate(x) for x in zip(*made, strict=True))
     total = np.bincount(doc, weight, len(texts))
     _, code, df = np.unique(shingle, return_inverse=True, return_counts=True)
@@ -380,7 +401,7 @@ def _resolve(df: DataFrame) -> tuple[Scratch, DataFrame, DataFrame, DataFrame]:
     n_labels = labels.count()
     joined = texts.select("tkey", "first_id", "copies").join(small(labels.withColumnRenamed("node", "tkey"), n_labels), "tkey", "left")
     classes = scratch.write(joined.withColumn("label", F.coalesce("label", "tkey")), "classes")
-    for name in ("texts", "members", "pairs", "keys", "fetched", "laned", "dealt", "blocks", "met_edges", "all_edges"):
+    for name in ("texts", "members", "pairs", "keys", "fetched", "held", "laned", "dealt", "blocks", "met_edges", "all_edges"):
         scratch.drop(name)
     return scratch, signed.select("doc_id", "tkey"), classes, links
 

@@ -26,8 +26,8 @@ def test_words_and_shingles_equal_plain_python():
 def plain_similarity(a, b, factors):
     def weights(text):
         _, _, data, offsets = next(textbytes.groups(pa.array([text]), 1 << 30))
-        _, s, c = textbytes.shingles(data, offsets)
-        return dict(zip(s.tolist(), near_dedup._weights(c, near_dedup._idf(s, factors)).tolist(), strict=True))
+        d, s, c = textbytes.shingles(data, offsets)
+        return dict(zip(s.tolist(), near_dedup._weights(d, c, near_dedup._idf(s, factors)).tolist(), strict=True))
 
     x, y = weights(a), weights(b)
     low = sum(min(x[k], y[k]) for k in x.keys() & y.keys())
@@ -46,7 +46,7 @@ def test_similarity_and_sampling_agree():
     assert near_dedup.similarity(pa.array([a, a, "", None]), pa.array([b, a, "", a]), factors) == pytest.approx([want, 1.0, 0.0, 0.0], abs=1e-5)
     _, _, data, offsets = next(textbytes.groups(pa.array([a, b]), 1 << 30))
     doc, s, c = textbytes.shingles(data, offsets)
-    w = near_dedup._weights(c, near_dedup._idf(s, factors))
+    w = near_dedup._weights(doc, c, near_dedup._idf(s, factors))
     starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     same = np.mean([len(set(near_dedup.weighted_samples(s, w, starts, k).tolist())) == 1 for k in range(1500)])
     assert same == pytest.approx(want, abs=0.05)
@@ -174,3 +174,46 @@ def test_pairs_that_share_boilerplate_with_many_others_meet(spark):
     apart = sum(got[2 * f] != got[2 * f + 1] for f in range(500))
     assert apart == 0
     assert len(set(got.values())) == 500
+
+
+def test_classes_equal_components_of_all_pairs_of_weighted_jaccard(spark):
+    # Copies from hardly to heavily edited, in small and large families, some with a passage that a third of all share.
+    rng = random.Random(31)
+    passage = prose(rng, 60)
+    rows = []
+    for family, size in enumerate([1] * 40 + [2] * 30 + [5] * 10 + [60]):
+        base = prose(rng, rng.randint(60, 250)).split()
+        shared = rng.random() < 0.33
+        for _ in range(size):
+            words = base[:]
+            for _ in range(rng.randint(0, 7)):
+                words[rng.randrange(len(words))] = "e" + str(rng.random())
+            rows.append((len(rows), " ".join(words) + (" " + passage if shared else "") + " tail of it all" * rng.choice((0, 0, 4)), "en", "s", 1))
+    df = documents(spark, rows)
+    factors = near_dedup.frequencies(df)
+
+    def weights(text):
+        _, _, data, offsets = next(textbytes.groups(pa.array([text]), 1 << 30))
+        d, s, c = textbytes.shingles(data, offsets)
+        return dict(zip(s.tolist(), near_dedup._weights(d, c, near_dedup._idf(s, factors)).tolist(), strict=True))
+
+    held = [weights(r[1]) for r in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = []
+    for i, x in enumerate(held):
+        for j in range(i):
+            y = held[j]
+            low = sum(min(x[k], y[k]) for k in x.keys() & y.keys())
+            if low >= 0.8 * (sum(x.values()) + sum(y.values()) - low):
+                links.append((i, j))
+                parent[find(i)] = find(j)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(df).collect()}
+    met = sum(got[i] == got[j] for i, j in links)
+    assert len(links) > 200 and met >= 0.99 * len(links)
+    assert all(find(i) == find(got[i]) for i in range(len(rows)))
