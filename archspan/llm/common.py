@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 #: White space of the contracts, as a character class body of Java and Python patterns.
 SPACE = r"\x20\x09-\x0D"
 
-#: Rows of a side that may be broadcast once they have been counted. Rows here
-#: are ids and hashes of at most 64 bytes, so a copy stays under about 30 MB.
-BROADCAST_ROWS = 200_000
+#: Bytes of a side that may be broadcast once its rows have been counted.
+BROADCAST_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,9 +49,18 @@ def utf8_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` marked for broadcast if its counted ``rows`` allow it; else the join shuffles."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def row_key(*names: str) -> Column:
+    """128-bit key of the values of some columns; null and empty differ."""
+    value = lambda c: F.concat(F.octet_length(c).cast("string"), F.lit(":"), c)
+    return F.unhex(F.md5(F.concat(*[F.coalesce(value(F.col(n).cast("string")), F.lit("-")) for n in names])))
+
+
+def small(df: DataFrame, rows: int, row_bytes: int = 96) -> DataFrame:
+    """``df`` marked for broadcast if its counted ``rows`` of about ``row_bytes`` allow it; else the join shuffles.
+
+    Rows of ids and hashes alone take at most 96 bytes.
+    """
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
 _SHIPPED: set[str] = set()

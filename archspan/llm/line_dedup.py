@@ -17,8 +17,9 @@ combine. A leaf of any size is clustered by one pass in one task, which streams
 lines and holds its templates; a line is compared only with templates that an index
 of tokens by position does not rule out.
 
-Lines of fewer than ``MIN_TOKENS`` tokens are never dropped. Null and empty texts
-have no lines to drop. Rows with equal doc_id and text count as one document.
+Lines of fewer than ``MIN_TOKENS`` tokens are never dropped; lines of any length are parsed
+whole. Null and empty texts have no lines to drop. Rows with equal doc_id and text count as
+one document. Other columns pass through; one named dropped_lines in any letter case is replaced.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, packed, ship, small, unpacked
+from .common import Scratch, packed, row_key, ship, small, unpacked
 
 DEPTH = 3
 ALIKE = 0.6
@@ -66,7 +67,7 @@ def leaf_of(tokens: list[bytes]) -> int:
 
 def _parsed(docs: DataFrame, with_line: bool) -> DataFrame:
     """(_k, doc_id, line, leaf, hash, exact, least[, masked]) of every line of enough tokens; least is the number of documents that makes it recurring."""
-    types = "_k long, doc_id long, line int, leaf long, hash long, exact long, least int" + (", masked binary" if with_line else "")
+    types = "_k binary, doc_id long, line int, leaf long, hash long, exact long, least int" + (", masked binary" if with_line else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,7 +95,7 @@ def _parsed(docs: DataFrame, with_line: bool) -> DataFrame:
 
 
 def _lines_batch(out: list[list], with_line: bool) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())[: 7 + with_line]
+    kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())[: 7 + with_line]
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=False)], names=["_k", "doc_id", "line", "leaf", "hash", "exact", "least", "masked"][: 7 + with_line])
 
 
@@ -183,14 +184,14 @@ def _clustered(rows: DataFrame) -> DataFrame:
         if made:
             yield from ended(at, made)
 
-    dealt = rows.select("leaf", "hash", "n", "masked").repartition("leaf").sortWithinPartitions("leaf", F.length("masked") - F.length(F.replace(F.col("masked").cast("string"), F.lit(" "), F.lit(""))), F.desc("n"), "hash")
+    dealt = rows.select("leaf", "hash", "n", "masked").repartition("leaf").sortWithinPartitions("leaf", F.size(F.split(F.col("masked").cast("string"), " ")), F.desc("n"), "hash")
     return dealt.mapInArrow(run, "leaf long, hash long, place long, template binary")
 
 
 def recurring_lines(df: DataFrame, scratch: Scratch) -> DataFrame:
-    """(_k, dropped): numbers of the lines to drop, for documents that have any."""
+    """(_k, dropped): key of the row and numbers of the lines to drop, for documents that have any."""
     ship(df.sparkSession)
-    docs = df.select(F.xxhash64("doc_id", "text").alias("_k"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = df.select(row_key("doc_id", "text").alias("_k"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     lines = scratch.write(_parsed(docs, False), "lines")
     kinds = scratch.write(lines.groupBy("leaf", "hash", "least").agg(F.count(F.lit(1)).alias("n")), "kinds")
     leaves = scratch.write(kinds.groupBy("leaf").agg(F.sum("n").alias("total"), F.min("least").alias("least")).filter("total >= least").select("leaf"), "leaves")
@@ -221,8 +222,9 @@ def marked(df: DataFrame) -> DataFrame:
     scratch = Scratch(df.sparkSession)
     dropped = recurring_lines(df, scratch)
     names = [c for c in df.columns if c.lower() != "dropped_lines"]
-    keyed = packed(df, _k=F.xxhash64("doc_id", "text"))
-    joined = keyed.join(small(dropped, dropped.count()), "_k", "left")
+    keyed = packed(df, _k=row_key("doc_id", "text"))
+    n, lines = dropped.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("dropped")), F.lit(0))).first()
+    joined = keyed.join(small(dropped, n, 64 + 4 * lines // max(n, 1)), "_k", "left")
     return joined.select(*unpacked(names), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped_lines"))
 
 
