@@ -3,17 +3,18 @@
 Each rule is a Column that is true when a document passes. The cost (seconds on
 a sample) and the rejection rate of every rule are measured, and rules are then
 ordered by falling rejection per cost: cheap and selective rules settle most
-rejections. ``cascade_filter`` computes the statistics of a rule only for the
-documents that passed the rules before it; ``cascade_verdict`` keeps all rows
-and chains the rules in one CASE. The order changes the work and never the
+rejections. The statistics of a rule are computed only for documents that passed the
+rules before it: ``cascade_filter`` drops the others between two rules, ``cascade_verdict``
+keeps all rows and leaves the statistics that a rejected document no longer needs null,
+but for those that the caller wants of every row. The order changes the work and never the
 verdict, which is the conjunction of the rules.
 
 Statistics use arrays inside one row and stay on the JVM. Repeated 8-word
 windows are found by combining word hashes pairwise (1, 2, 4, then 8 words) and,
 only for texts with a repeated window, sorting (hash, position) pairs.
 
-Null text counts as empty and fails the base. Columns that clash with added
-ones are replaced. Empty tables give no rows; repeated rows are judged alike.
+Null text counts as empty and fails the base. Texts of any length are judged whole. Columns
+that clash with added ones are replaced. Empty tables give no rows; repeated rows are judged alike.
 """
 
 from __future__ import annotations
@@ -25,28 +26,31 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, without, words
+from .common import SPACE, without, words
 
 #: Words of a repeated window; the pairwise hashing below is for this value.
 WINDOW = 8
 #: Rows on which cost and selectivity are measured. They only order the rules.
-SAMPLE_ROWS = 512
+SAMPLE_ROWS = 256
+#: Longer texts are left out of that sample, so that it fits the driver.
+SAMPLE_BYTES = 1 << 16
 
+#: Groups of statistics that ``cascade_verdict`` gives for every row unless asked for others.
+REPORTED = ("words", "symbols", "lines", "repeats")
 STATS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_capitals")
-ADDED = (*STATS, "base_failed", "kept", "failed_rule", "_w", "_h", "_s", "_e", "_p", "_bar")
+ADDED = (*STATS, "base_failed", "kept", "failed_rule", "_w", "_h", "_s", "_e", "_p", "_t", "_bar")
 
 
-def _text() -> Column:
-    return F.coalesce(F.col("text"), F.lit(""))
+# The statistics read the text as ``_t``, which is null where they are not asked for; then they are null too.
 
 
 def _counted(pattern: str) -> Column:
     """Characters of the text inside matches of ``pattern``."""
-    return (F.length(_text()) - F.length(F.regexp_replace(_text(), pattern, ""))).cast("long")
+    return (F.length("_t") - F.length(F.regexp_replace("_t", pattern, ""))).cast("long")
 
 
 def _add_words(df: DataFrame) -> DataFrame:
-    return df.withColumn("_w", words(F.col("text"))).withColumns(
+    return df.withColumn("_w", F.when(F.col("_t").isNotNull(), words(F.col("_t")))).withColumns(
         {"n_words": F.size("_w").cast("long"), "word_chars": F.length(F.array_join("_w", "")).cast("long")}
     )
 
@@ -56,7 +60,7 @@ def _add_symbols(df: DataFrame) -> DataFrame:
 
 
 def _add_lines(df: DataFrame) -> DataFrame:
-    lines = F.filter(F.split(_text(), "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
+    lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
     df = df.withColumn("_h", lines)
     n = F.size("_h").cast("long")
     return df.withColumns({"n_lines": n, "n_dup_lines": n - F.size(F.array_distinct("_h"))}).drop("_h")
@@ -68,7 +72,7 @@ def _paired(name: str, gap: int) -> Column:
 
 
 def _add_repeats(df: DataFrame) -> DataFrame:
-    df = df.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
+    df = df.withColumn("_h", F.when(F.col("_t").isNotNull(), F.transform("_w", lambda w: F.xxhash64(w))))
     for gap in (1, 2, 4):
         df = df.withColumn("_h", _paired("_h", gap))
     whole = F.greatest(F.size("_w") - (WINDOW - 1), F.lit(0))
@@ -84,7 +88,7 @@ def _add_repeats(df: DataFrame) -> DataFrame:
     later = F.slice(F.col("_p"), F.lit(2), F.size("_p"))
     gaps = F.zip_with("_p", later, lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW))))
     total = F.aggregate(gaps, F.lit(0).cast("long"), lambda s, g: s + g)
-    return df.withColumn("n_repeat_words", F.coalesce(total, F.lit(0)).cast("long")).drop("_h", "_s", "_e", "_p")
+    return df.withColumn("n_repeat_words", F.when(F.col("_t").isNotNull(), F.coalesce(total, F.lit(0)).cast("long"))).drop("_h", "_s", "_e", "_p")
 
 
 def _add_letters(df: DataFrame) -> DataFrame:
@@ -122,17 +126,23 @@ RULES = (
 )
 
 
+def _ready(df: DataFrame, asked: Column | None = None) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return df.withColumn("_t", text if asked is None else F.when(asked, text))
+
+
 def with_statistics(df: DataFrame, groups: tuple[str, ...] = tuple(_ADD)) -> DataFrame:
     """``df`` plus the statistics of ``groups``; repeats need words before them."""
+    df = _ready(df)
     for group in groups:
         df = _ADD[group](df)
-    return df
+    return df.drop("_t")
 
 
 def measure(df: DataFrame, rules: tuple[Rule, ...] = (*BASE, *RULES)) -> list[tuple[str, float, float]]:
     """(rule, seconds on the sample, rejected share) for each rule."""
-    scratch = Scratch(df.sparkSession)
-    sample = scratch.write(df.select("text").limit(SAMPLE_ROWS), "rule_sample")
+    few = df.select("text").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES).take(SAMPLE_ROWS)
+    sample = df.sparkSession.createDataFrame([tuple(r) for r in few], "text string").repartition(1)
 
     def timed(needs: tuple[str, ...], passes: Column) -> tuple[float, float]:
         plan = with_statistics(sample, needs).agg(F.avg((~passes).cast("double")))
@@ -146,7 +156,6 @@ def measure(df: DataFrame, rules: tuple[Rule, ...] = (*BASE, *RULES)) -> list[tu
     for rule in rules:
         seconds, share = timed(rule.needs, rule.passes())
         found.append((rule.name, max(seconds - floor, 1e-3), share))
-    scratch.drop("rule_sample")
     return found
 
 
@@ -156,19 +165,29 @@ def ordered(rules: tuple[Rule, ...], measured: list[tuple[str, float, float]]) -
     return sorted(rules, key=lambda r: by[r.name])
 
 
-def cascade_verdict(df: DataFrame, measured: list[tuple[str, float, float]] | None = None) -> DataFrame:
+def cascade_verdict(df: DataFrame, measured: list[tuple[str, float, float]] | None = None, always: tuple[str, ...] = REPORTED) -> DataFrame:
     """All rows with statistics, base_failed, kept and failed_rule.
 
     failed_rule names the first rule of the measured order that failed (null if
-    kept); it is a diagnosis and may differ between runs, kept does not.
+    kept); it is a diagnosis and may differ between runs, kept does not. Statistics
+    of groups in ``always`` are of every row, others null behind the rule that failed;
+    base_failed is null if its statistics are.
     """
-    df = without(df, *ADDED)
+    held = without(df, *ADDED)
     measured = measure(df) if measured is None else measured
-    judged = with_statistics(df).withColumn("base_failed", ~(BASE[0].passes() & BASE[1].passes()))
-    failed = F
+    for group in (g for g in _ADD if g in always):
+        held = _ADD[group](_ready(held)).drop("_t")
+    have = set(always)
+    held = held.withColumn("failed_rule", F.lit(None).cast("string"))
     for rule in ordered((*BASE, *RULES), measured):
-        failed = failed.when(~rule.passes(), F.lit(rule.name))
-    return judged.withColumn("failed_rule", failed).withColumn("kept", F.col("failed_rule").isNull()).drop("_w")
+        alive = F.col("failed_rule").isNull()
+        for group in rule.needs:
+            if group not in have:
+                held = _ADD[group](_ready(held, alive)).drop("_t")
+                have.add(group)
+        held = held.withColumn("failed_rule", F.when(alive & ~rule.passes(), F.lit(rule.name)).otherwise(F.col("failed_rule")))
+    base_failed = ~(BASE[0].passes() & BASE[1].passes())
+    return held.withColumns({"base_failed": base_failed, "kept": F.col("failed_rule").isNull()}).drop("_w")
 
 
 def cascade_filter(df: DataFrame, measured: list[tuple[str, float, float]] | None = None) -> DataFrame:
@@ -181,7 +200,7 @@ def cascade_filter(df: DataFrame, measured: list[tuple[str, float, float]] | Non
     for rule in ordered((*BASE, *RULES), measured):
         for group in rule.needs:
             if group not in have:
-                held = _ADD[group](held)
+                held = _ADD[group](_ready(held)).drop("_t")
                 have.add(group)
         # The row id pins the filter here: pushed below the projections it would
         # repeat their work, or run it for rows that earlier rules dropped.

@@ -51,3 +51,21 @@ def test_junk_goes_and_prose_stays(spark):
 def test_empty_table(spark):
     assert quality_rules.cascade_filter(documents(spark, [])).collect() == []
     assert quality_rules.cascade_verdict(documents(spark, [])).collect() == []
+
+
+def test_statistics_stop_at_the_first_failed_rule(spark):
+    rules = (*quality_rules.BASE, *quality_rules.RULES)
+    measured = [(r.name, float(i + 1), 0.5) for i, r in enumerate(rules)]  # base_words first, shouting last
+    rows = {r["doc_id"]: r for r in quality_rules.cascade_verdict(documents(spark, [(1, "few words", "en", "s", 1), (2, " ".join(f"word{i} of text" for i in range(30)), "en", "s", 1)]), measured, always=()).collect()}
+    assert (rows[1]["failed_rule"], rows[1]["n_words"]) == ("base_words", 2)
+    assert all(rows[1][c] is None for c in quality_rules.STATS if c not in ("n_words", "word_chars"))
+    assert rows[2]["kept"] and all(rows[2][c] is not None for c in quality_rules.STATS)
+    everything = quality_rules.cascade_verdict(documents(spark), measured).select("doc_id", "text", "kept")
+    least = quality_rules.cascade_verdict(documents(spark), measured, always=()).select("doc_id", "text", "kept")
+    assert sorted(map(str, everything.collect())) == sorted(map(str, least.collect()))
+
+
+def test_measuring_reads_a_few_rows_of_any_table(spark):
+    found = quality_rules.measure(documents(spark))
+    assert [name for name, *_ in found] == [r.name for r in (*quality_rules.BASE, *quality_rules.RULES)]
+    assert all(cost > 0 and 0 <= share <= 1 for _, cost, share in found)
