@@ -9,15 +9,18 @@ All targets are cut into about ``BLOCKS`` equal blocks of words. Each block goes
 to the source with the highest quotient target / (2k + 1), k being the blocks that
 the source has; the ranked blocks are dealt to ``shards`` in turn, which gives every
 shard an integer quota of each source. A source's documents, in a seeded order,
-form a stream that is cut into blocks of that size; a quota of q out of n blocks takes
-every block q div n times and q mod n blocks, chosen by seeded rank, once more.
-
-A document's words taken are the difference of two running sums, looked up at its two
-ends. Positions come from sums inside hash ranges of a source plus the sums of the
-ranges before, so a source with a third of the rows is spread over many tasks.
-
-Null text has 0 words and is never taken. Rows that repeat a doc_id are separate
-documents. Empty tables give no rows.
+form a stream that is cut into n blocks of that size. A source's blocks, in an order by seeded
+rank and up to ``REPEAT`` times over, are its picks; the shards take as many of them as their
+quotas, one after the other.
+
+A document's words taken are those of its parts in blocks, once for each shard that picked
+the block. A document's place in the stream comes from sums inside hash ranges of a source plus
+the sums of the ranges before, so a source with a third of the rows is spread over many tasks;
+parts are as many as documents and blocks.
+
+Null text has 0 words and is never taken. Rows that repeat a doc_id are separate documents;
+rows that tie in the seeded order stand by doc_id and size. Texts of any length are counted
+whole. Empty tables give no rows. Of ``df`` only doc_id, text and source are read by ``mix``.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ BLOCKS = 65_536
 #: Blocks for each source at least, should there be many sources.
 BLOCKS_A_SOURCE = 256
 REPEAT = 3
+SHARDS = 24
 RANGE_ROWS = 32_768
 WEIGHTS = (1, 2, 3)
 
@@ -77,23 +81,20 @@ def quotas(targets: DataFrame, block: int, n_sources: int, shards: int = 1) -> D
 
 
 def block_table(targets: DataFrame, quota: DataFrame, block: int, seed: int) -> DataFrame:
-    """(_s, _j, copies, taken_before, source_size, target); one more row ends each source."""
-    whole = quota.groupBy("_s").agg(F.sum("quota").alias("quota"))
-    cut = targets.join(whole, "_s", "left").withColumn("quota", F.coalesce("quota", F.lit(0))).withColumn("_n", F.ceil(F.col("source_size") / F.lit(block)))
-    rows = cut.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n"))))
-    last = F.col("_j") == F.col("_n")
-    order = Window.partitionBy("_s").orderBy(last, F.xxhash64(F.lit(seed), "_s", "_j"), "_j")
-    n = F.greatest("_n", F.lit(1))
-    rows = rows.withColumn("_pick", F.row_number().over(order))
-    extra = (F.col("_pick") <= F.pmod(F.col("quota"), n)).cast("long")
-    rows = rows.withColumn("copies", F.when(last, F.lit(0).cast("long")).otherwise(F.floor(F.col("quota") / n) + extra))
-    in_block = F.least(F.lit(block).cast("long"), F.col("source_size") - F.col("_j") * block)
-    along = Window.partitionBy("_s").orderBy("_j").rowsBetween(*_BEFORE)
-    return rows.withColumn("taken_before", F.coalesce(F.sum(F.col("copies") * in_block).over(along), F.lit(0)).cast("long")).select("_s", "_j", "copies", "taken_before", "source_size", "target")
-
-
-def _taken(rows: DataFrame, n: int, seed: int, scratch: Scratch, weights: tuple[int, ...]) -> DataFrame:
-    """Rows (doc_id, _s, size, _h, ...) with source_size, target and taken."""
+    """(_s, _j, shards): for each block of a source the shards that picked it, one entry a pick."""
+    along = Window.partitionBy("_s").orderBy("shard")
+    ends = quota.withColumn("end", F.sum("quota").over(along)).groupBy("_s").agg(F.sort_array(F.collect_list(F.struct("end", "shard"))).alias("ends"), F.sum("quota").alias("quota"))
+    cut = targets.join(ends, "_s").withColumn("_n", F.ceil(F.col("source_size") / F.lit(block)))
+    rows = cut.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    order = Window.partitionBy("_s").orderBy(F.xxhash64(F.lit(seed), "_s", "_j"), "_j")
+    rows = rows.withColumn("_rank", F.row_number().over(order).cast("long") - 1)
+    picks = F.filter(F.transform(F.sequence(F.lit(0), F.lit(REPEAT - 1)), lambda k: F.col("_rank") + k * F.col("_n")), lambda i: i < F.col("quota"))
+    owner = lambda i: F.filter("ends", lambda e: e["end"] > i)[0]["shard"]
+    return rows.withColumn("shards", F.transform(picks, owner)).filter(F.size("shards") > 0).select("_s", "_j", "shards")
+
+
+def _taken(rows: DataFrame, n: int, seed: int, scratch: Scratch, weights: tuple[int, ...], shards: int) -> DataFrame:
+    """Rows (doc_id, _s, size, _h, _g, _x) with source_size, target, taken and by_shard."""
     bits = max(0, min(24, math.ceil(math.log2(max(1, n / RANGE_ROWS)))))
     rows = rows.withColumn("_b", F.shiftrightunsigned(F.col("_h"), 64 - bits) if bits else F.lit(0).cast("long"))
     ranges = scratch.write(rows.groupBy("_s", "_b").agg(F.sum("size").alias("_words")), "ranges")
@@ -102,19 +103,25 @@ def _taken(rows: DataFrame, n: int, seed: int, scratch: Scratch, weights: tuple[
     n_sources, total = targets.agg(F.count(F.lit(1)), F.sum("source_size")).first()
     blocks = max(BLOCKS, BLOCKS_A_SOURCE * n_sources)
     block = max(1, (total or 0) // blocks)
-    table = scratch.write(block_table(targets, quotas(targets, block, n_sources), block, seed), "blocks")
-    n_blocks = table.count()
+    table = scratch.write(block_table(targets.filter("target > 0"), quotas(targets, block, n_sources, shards), block, seed), "blocks")
     offsets = ranges.select("_s", "_b", F.coalesce(F.sum("_words").over(Window.partitionBy("_s").orderBy("_b").rowsBetween(*_BEFORE)), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy("_s", "_b").orderBy("_h", "doc_id", "size").rowsBetween(*_BEFORE)
     placed = rows.withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["_s", "_b"])
-    start = F.col("_offset") + F.col("_before")
-    placed = placed.withColumns({"_x": start, "_y": start + F.col("size")}).withColumns({"_jx": F.floor(F.col("_x") / block), "_jy": F.floor(F.col("_y") / block)})
-    here = small(table.select("_s", F.col("_j").alias("_jx"), F.col("copies").alias("_cx"), F.col("taken_before").alias("_tx"), "source_size", "target"), n_blocks)
-    there = small(table.select("_s", F.col("_j").alias("_jy"), F.col("copies").alias("_cy"), F.col("taken_before").alias("_ty")), n_blocks)
-    at = lambda x, j, c, t: F.col(t) + F.col(c) * (F.col(x) - F.col(j) * block)
-    # A source whose words fill its last block ends in that block plus one, the extra row.
-    ends = placed.join(here, ["_s", "_jx"]).join(there, ["_s", "_jy"])
-    return ends.withColumn("taken", (at("_y", "_jy", "_cy", "_ty") - at("_x", "_jx", "_cx", "_tx")).cast("long"))
+    placed = placed.withColumn("_x", F.col("_offset") + F.col("_before")).select("doc_id", "_s", "size", "_h", "_g", "_x")
+    placed = scratch.write(placed, "placed")
+    end = F.col("_x") + F.col("size")
+    first, last = F.floor(F.col("_x") / block), F.floor((end - 1) / block)
+    parts = placed.filter("size > 0").withColumn("_j", F.explode(F.sequence(first, last)))
+    words = F.least(end, (F.col("_j") + 1) * block) - F.greatest(F.col("_x"), F.col("_j") * block)
+    # Start and source name a document that has words.
+    picked = parts.select("_s", "_x", "_j", words.alias("_words")).join(small(table, table.count(), 192), ["_s", "_j"])
+    each = picked.select("_s", "_x", F.explode("shards").alias("shard"), "_words").repartition("_s", "_x")
+    each = each.groupBy("_s", "_x", "shard").agg(F.sum("_words").alias("words"))
+    found = each.groupBy("_s", "_x").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("shard", "words"))).alias("by_shard")).withColumnsRenamed({"_s": "_fs", "_x": "_fx"})
+    nothing = F.array().cast("array<struct<shard:int,words:bigint>>")
+    joined = placed.join(found, F.expr("_s = _fs and _x = _fx and size > 0"), "left").drop("_fs", "_fx")
+    joined = joined.withColumns({"taken": F.coalesce("taken", F.lit(0)).cast("long"), "by_shard": F.coalesce("by_shard", nothing)})
+    return joined.join(small(targets, n_sources), "_s")
 
 
 def _prepared(df: DataFrame, seed: int) -> DataFrame:
@@ -127,11 +134,14 @@ def _prepared(df: DataFrame, seed: int) -> DataFrame:
     )
 
 
-def mix(df: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row of ``df``."""
+def mix(df: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, shards: int = SHARDS) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, by_shard) for every row of ``df``.
+
+    by_shard lists the words that each shard takes, repeats counted; taken is their sum.
+    """
     scratch = Scratch(df.sparkSession)
     rows = scratch.write(_prepared(df, seed), "rows")
-    return _taken(rows, rows.count(), seed, scratch, weights).select("doc_id", "size", "source_size", "target", "taken")
+    return _taken(rows, rows.count(), seed, scratch, weights, shards).select("doc_id", "size", "source_size", "target", "taken", "by_shard")
 
 
 def mixed(df: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -142,7 +152,7 @@ def mixed(df: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS) -> D
     """
     scratch = Scratch(df.sparkSession)
     rows = scratch.write(_prepared(df, seed), "rows")
-    taken = _taken(rows, rows.count(), seed, scratch, weights)
+    taken = _taken(rows, rows.count(), seed, scratch, weights, SHARDS)
     rest = F.pmod(F.col("taken"), F.greatest("size", F.lit(1))) / F.greatest("size", F.lit(1))
     chance = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 2), "_g", "_x"), 11) / F.lit(float(2**53))
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.greatest("size", F.lit(1))) + (chance < rest).cast("long")).otherwise(0)

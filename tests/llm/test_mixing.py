@@ -78,3 +78,36 @@ def test_quotas_are_the_highest_quotients(spark):
     assert n == {s: sum(q[1] == s for q in quotients) for s in n}
     by_shard = [r["n"] for r in got.groupBy("shard").agg(F.sum("quota").alias("n")).collect()]
     assert by_shard == [5, 5]
+
+
+def test_words_of_each_shard_equal_brute_force(spark, monkeypatch):
+    """Quotas, seeded order of blocks and parts of documents, written plainly over the stream of every source."""
+    monkeypatch.setattr(mixing, "BLOCKS", 200)
+    monkeypatch.setattr(mixing, "BLOCKS_A_SOURCE", 20)
+    rows = [(i, "w " * (i * 7 % 60), "en", ("tiny" if i < 15 else f"src{i % 3}"), 1) for i in range(400)]
+    df = documents(spark, rows)
+    got = {r["doc_id"]: r for r in mixing.mix(df, seed=4, shards=5).collect()}
+    order = {r["doc_id"]: r["h"] for r in df.select("doc_id", F.xxhash64(F.lit(4), "doc_id", "text").alias("h")).collect()}
+    size = {i: len(t.split()) for i, t, *_ in rows}
+    sources = sorted({r[3] for r in rows})
+    whole = {s: sum(size[r[0]] for r in rows if r[3] == s) for s in sources}
+    targets = filled(whole)
+    block = sum(whole.values()) // 200
+    seats = sorted(((-targets[s] / (2 * k + 1), "s" + s, k) for s in sources for k in range(-(-whole[s] // block) * 3)))[: round(sum(targets.values()) / block)]
+    key = {(r["s"], r["j"]): r["h"] for r in spark.range(400).selectExpr("id as j", "explode(array('" + "','".join(sources) + "')) as s").selectExpr("s", "j", "xxhash64(4, concat('s', s), j) as h").collect()}
+    for s in sources:
+        quota = [sum(i % 5 == shard for i, seat in enumerate(seats) if seat[1] == "s" + s) for shard in range(5)]
+        n = -(-whole[s] // block)
+        ranked = sorted(range(n), key=lambda j: (key[s, j], j))
+        picks = [(ranked * 3)[i] for i in range(sum(quota))]
+        owners = [shard for shard in range(5) for _ in range(quota[shard])]
+        x = 0
+        for i in sorted((r[0] for r in rows if r[3] == s), key=lambda i: (order[i], i)):
+            want = {}
+            for j, shard in zip(picks, owners, strict=True):
+                words = min(x + size[i], (j + 1) * block) - max(x, j * block)
+                if words > 0:
+                    want[shard] = want.get(shard, 0) + words
+            assert {e["shard"]: e["words"] for e in got[i]["by_shard"]} == want
+            assert got[i]["taken"] == sum(want.values())
+            x += size[i]
