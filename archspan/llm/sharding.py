@@ -5,7 +5,8 @@ numbers do not depend on files, partitions or the order in which rows arrive. A
 generalised Feistel network permutes the numbers: its state is a pair (left,
 right) in Z_a x Z_b with a = ceil(sqrt N) and b = ceil(N / a), and a result of N
 or more is permuted again until it is below N (cycle walking). a * b exceeds N by
-less than a, so a walk is rare and has at most a steps. Row n then goes to
+less than a, so a walk is rare and has at most a steps; 512 are made,
+which for larger a (b is about a) a walk exceeds with a chance of a**-512: then the job fails. Row n then goes to
 shard perm(n) mod S, slot perm(n) div S: shard sizes differ by one row at most
 and slots have no gaps, and both are computable from n alone.
 
@@ -63,7 +64,8 @@ def permuted(number: Column, n: int, seed: int = 0) -> Column:
         first,
         lambda v, _: F.when(v >= limit, permute(v)).otherwise(v),
     )
-    return F.when(first < limit, first).otherwise(walk)
+    stuck = F.raise_error(F.lit("a walk of the permutation did not end")).cast("long")
+    return F.when(first < limit, first).when(walk < limit, walk).otherwise(stuck)
 
 
 def _hashable(df: DataFrame) -> list[Column]:
