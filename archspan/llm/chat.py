@@ -11,14 +11,18 @@ if an id repeats). The order is topological: a result comes after its call, at
 its own place if that is later, else right behind the call's turn. Arguments are
 validated against the tool's JSON schema: type, required, properties with type
 and enum, and additionalProperties = false. Messages are canonical JSON: keys
-sorted at every level, no white space.
+sorted at every level, no white space. A tool turn keeps all keys of its object (the
+row's role replaces one of that name); arguments that are JSON in a string stay a
+string, of canonical JSON.
 
 Output has a row per turn, so a conversation of any length is never gathered into one row;
 positions are counted inside blocks of turns plus the sums of the blocks before.
 
 Null turns come last in their conversation, null conv_ids form one conversation, null text is an empty
 content and a null role stays null. Repeated turns keep their own rows. A result
-without a call, and a call without a result, is reported and kept.
+without a call, and a call without a result, is reported and kept. Texts of any length are
+formatted whole. Other columns than the four are not read and not returned. Turns of one
+conversation and one number are numbered by one task, null ones by many.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_TURNS = 1024
+#: Blocks of a conversation's turns without a number.
+NULL_BLOCKS = 1024
 _LAST = 2**62
 #: SQL types that ``schema_of_variant`` reports for JSON schema types.
 JSON_TYPES = {
@@ -75,6 +81,41 @@ def validates(arguments: Column, schema: dict) -> Column:
     return F.coalesce(fits, F.lit(False))
 
 
+def _string(value: Column) -> Column:
+    """JSON of a string."""
+    listed = F.to_json(F.array(value))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def _entries(value: Column) -> Column:
+    """(key, json) of a variant's keys; null if it is no object."""
+    keyed = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
+    return F.transform(keyed, lambda e: F.struct(e["key"].alias("key"), F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("json")))
+
+
+def _with(entries: Column, key: str, json_: Column) -> Column:
+    return F.concat(F.filter(entries, lambda e: e["key"] != key), F.array(F.struct(F.lit(key).alias("key"), json_.alias("json"))))
+
+
+def _object(entries: Column) -> Column:
+    members = F.transform(F.array_sort(entries), lambda e: F.concat(_string(e["key"]), F.lit(":"), e["json"]))
+    return F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
+
+
+def _canonical_arguments(raw: Column) -> Column:
+    inner = F.try_parse_json(F.try_variant_get(raw, "$", "string"))
+    return F.when((F.schema_of_variant(raw) == "STRING") & inner.isNotNull(), _string(F.to_json(inner))).otherwise(F.to_json(raw))
+
+
+def _canonical_call(c: Column) -> Column:
+    get = lambda path: F.try_variant_get(c, path, "variant")
+    entries = _entries(c)
+    entries = F.when(get("$.arguments").isNotNull(), _with(entries, "arguments", _canonical_arguments(get("$.arguments")))).otherwise(entries)
+    inner = _object(_with(_entries(get("$.function")), "arguments", _canonical_arguments(get("$.function.arguments"))))
+    entries = F.when(get("$.function.arguments").isNotNull(), _with(entries, "function", inner)).otherwise(entries)
+    return F.coalesce(_object(entries), F.to_json(c), F.lit("null"))
+
+
 def _parsed() -> Column:
     """The text as a variant if it looks like a JSON object."""
     text = F.ltrim(F.col("text"))
@@ -139,10 +180,11 @@ def messages(turns: DataFrame, schemas: dict[str, dict] | None = None) -> DataFr
         return F.coalesce(fails, F.lit(False))
 
     bad = F.greatest(F.coalesce(F.size(F.filter("_calls", wrong)), F.lit(0)), F.lit(0))
-    # The keys of the object are sorted: content, role, then tool_call_id or tool_calls.
     plain = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("content"), F.col("role")))
-    tool = F.concat(F.lit('{"content":'), F.coalesce(F.to_json(F.try_variant_get("_j", "$.content", "variant")), F.lit('""')), F.lit(',"role":"tool","tool_call_id":'), F.substring_index(F.to_json(F.struct(F.col("_id").alias("i"))), '{"i":', -1))
-    called = F.concat(F.lit('{"content":'), F.coalesce(F.to_json(F.try_variant_get("_j", "$.content", "variant")), F.lit('""')), F.lit(',"role":"assistant","tool_calls":['), F.array_join(F.transform("_calls", lambda c: F.to_json(c)), ","), F.lit("]}"))
+    entries = _with(_entries(F.col("_j")), "role", _string(F.col("role")))
+    entries = F.when(F.exists(entries, lambda e: e["key"] == "content"), entries).otherwise(_with(entries, "content", F.lit('""')))
+    tool = _object(entries)
+    called = _object(_with(entries, "tool_calls", F.concat(F.lit("["), F.array_join(F.transform("_calls", _canonical_call), ","), F.lit("]"))))
     message = F.when(F.col("_id").isNotNull(), tool).when(F.col("_calls").isNotNull(), called).otherwise(plain)
     rows = rows.select(
         "conv_id",
@@ -152,7 +194,7 @@ def messages(turns: DataFrame, schemas: dict[str, dict] | None = None) -> DataFr
         bad.alias("n_invalid"),
         F.when(F.col("_id").isNotNull(), F.col("_at").isNotNull()).alias("linked"),
         message.alias("message"),
-        F.floor(F.col("_place") / BLOCK_TURNS).alias("_block"),
+        (F.floor(F.col("_place") / BLOCK_TURNS) + F.when(F.col("_place") == _LAST, F.pmod(F.xxhash64("role", "text"), F.lit(NULL_BLOCKS))).otherwise(0)).alias("_block"),
         "_place",
         "_late",
         "_own",

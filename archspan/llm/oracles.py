@@ -37,11 +37,23 @@ select doc_id, n_words, n_hit, n_items, items_sha256, n_hit > 0 and 20 * n_hit >
   from d left join v on v.rid = d.rid left join m on m.rid = d.rid) q
 """
 
-#: For conversations of plain turns; DuckDB has no canonical form of the objects in tool turns.
+#: The conversations, and the call and the result made of every assistant's turn; a result goes behind its call.
 CHAT_MESSAGES = """
-select conv_id, row_number() over (partition by conv_id order by turn, role) - 1 as position, turn, role, cast(0 as int) as n_calls, cast(0 as int) as n_invalid,
-  cast(null as boolean) as linked, cast(to_json({'content': coalesce(text, ''), 'role': role}) as varchar) as message
-from conversations
+with s as (select conv_id, turn, coalesce(text, '') as text, length(coalesce(text, '')) as n from conversations where role = 'assistant'),
+a as (select *, '{"limit":' || case n % 3 when 2 then '"' || n || '"' else '' || n end || ',"text":' || cast(to_json(text) as varchar) || '}' as arguments from s),
+t as (
+  select conv_id, turn * 4 as place, 0 as late, turn, role, cast(0 as int) as n_calls, cast(0 as int) as n_invalid, cast(null as boolean) as linked,
+    cast(to_json({'content': coalesce(text, ''), 'role': role}) as varchar) as message
+  from conversations
+  union all
+  select -1 - conv_id, turn * 4 + 2, 0, turn * 4 + 2, 'assistant', 1, cast(n % 3 = 2 as int), null,
+    '{"content":"","model":"m","role":"assistant","tool_calls":[{"function":{"arguments":' || case n % 3 when 1 then cast(to_json(arguments) as varchar) else arguments end || ',"name":"look_up"},"id":"c' || turn || '"}]}'
+  from a
+  union all
+  select -1 - conv_id, case when turn % 5 = 4 then own else greatest(own, turn * 4 + 2) end, case when turn % 5 <> 4 and own < turn * 4 + 2 then 1 else 0 end, own, 'tool', 0, 0, turn % 5 <> 4,
+    '{"content":' || cast(to_json(text) as varchar) || ',"is_error":false,"role":"tool","tool_call_id":"' || case when turn % 5 = 4 then 'x' else 'c' end || turn || '"}'
+  from (select *, turn * 4 + case when turn % 2 = 0 then 3 else 1 end as own from a) r)
+select conv_id, row_number() over (partition by conv_id order by place, late, turn, role, message) - 1 as position, turn, role, n_calls, n_invalid, linked, message from t
 """
 
 SQL = {"op4_chat_messages": CHAT_MESSAGES, "op7_contamination": CONTAMINATION, "op8_quality_rules": QUALITY_RULES}

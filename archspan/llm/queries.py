@@ -11,8 +11,16 @@ from . import chat, decontaminate, line_dedup, mixing, near_dedup, oracles, qual
 from .common import table, utf8_bytes
 
 SHARDS = 24
-#: Folder of the public vocabulary files; a parameter, never part of the repository.
-VOCABULARIES = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def vocabulary(name: str = VOCABULARY) -> str:
+    """Path of a public vocabulary file, which is never part of the repository: in ``TOKENIZER_DIR`` if that is set."""
+    if folder := os.environ.get("TOKENIZER_DIR"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,13 +42,41 @@ def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), seed=23)
 
 
+def tool_turns(turns: DataFrame) -> DataFrame:
+    """Tool turns made of every assistant's turn, in conversations -1 - conv_id; the tables hold none.
+
+    Each is a call and its result. Every other result stands before its call, every fifth names
+    a call that was never made, and by the length of the text arguments are an object, JSON in
+    a string, or an object that its schema refuses.
+    """
+    spoken = turns.filter("role = 'assistant'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    limit = F.length("text")
+    number = F.when(limit % 3 == 2, F.concat(F.lit('"'), limit, F.lit('"'))).otherwise(limit.cast("string"))
+    quoted = lambda c: F.substring(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    made = F.concat(F.lit('{"text": '), quoted(F.col("text")), F.lit(',  "limit": '), number, F.lit("}"))
+    arguments = F.when(limit % 3 == 1, quoted(made)).otherwise(made)
+    called = F.concat(F.lit('{"tool_calls": [{"id": "c'), F.col("turn"), F.lit('", "function": {"name": "look_up", "arguments": '), arguments, F.lit('}}], "content": "", "model": "m"}'))
+    answered = F.concat(F.lit('{"tool_call_id": "'), F.when(F.col("turn") % 5 == 4, F.lit("x")).otherwise(F.lit("c")), F.col("turn"), F.lit('", "is_error": false, "content": '), quoted(F.col("text")), F.lit("}"))
+    rows = F.array(
+        F.struct((F.col("turn") * 4 + 2).alias("turn"), F.lit("assistant").alias("role"), called.alias("text")),
+        F.struct((F.col("turn") * 4 + F.when(F.col("turn") % 2 == 0, 3).otherwise(1)).alias("turn"), F.lit("tool").alias("role"), answered.alias("text")),
+    )
+    return spoken.select((-1 - F.col("conv_id")).alias("conv_id"), F.explode(rows).alias("_t")).select("conv_id", "_t.turn", "_t.role", "_t.text")
+
+
+#: What ``look_up`` takes.
+SCHEMAS = {"look_up": {"type": "object", "required": ["text"], "properties": {"text": {"type": "string"}, "limit": {"type": "integer"}}, "additionalProperties": False}}
+
+
 def op4_chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.messages(table(spark, sf_dir, "conversations"))
+    """All conversations, and the tool turns made of them."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.messages(turns.unionByName(tool_turns(turns)), SCHEMAS)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_count.counts(docs, os.path.join(VOCABULARIES, "byte_bpe_50k.json"), limit=512)
+    return token_count.counts(docs, vocabulary(), limit=512)
 
 
 def op6_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,3 +66,25 @@ def test_arguments_that_are_no_json_are_invalid_without_a_schema(spark):
     turns = spark.createDataFrame([(1, 0, "assistant", text), (1, 1, "user", "hi")], "conv_id long, turn long, role string, text string")
     got = {r["turn"]: (r["n_calls"], r["n_invalid"]) for r in chat.messages(turns).collect()}
     assert got == {0: (4, 1), 1: (0, 0)}
+
+
+def test_all_keys_of_a_tool_turn_stay_and_arguments_are_canonical(spark):
+    texts = [
+        ("assistant", '{"tool_calls":[{"type":"function","id":"a","function":{"name":"f","strict":true,"arguments":"{\\"b\\": 1,   \\"a\\": {\\"z\\": 1, \\"y\\": 2}}"}},{"name":"g","id":"b","arguments":{"d":1,"c":"{\\" kept"}},7],"refusal":null,"name":"x"}'),
+        ("tool", '{"tool_call_id":"{\\"i\\":x","is_error":true,"name":"f","role":"other","content":{"q":[1, 2]}}'),
+        ("assistant", '{"tool_calls":[{"id":"c","name":"f","arguments":"no json"}],"content":"t"}'),
+        ("tool", "y" * 300_000),
+    ]
+    turns = spark.createDataFrame([(1, i, *t, "extra") for i, t in enumerate(texts)], SCHEMA + ", message string")
+    got = [r["message"] for r in chat.messages(turns).orderBy("turn").collect()]
+    assert got[0] == '{"content":"","name":"x","refusal":null,"role":"assistant","tool_calls":[{"function":{"arguments":"{\\"a\\":{\\"y\\":2,\\"z\\":1},\\"b\\":1}","name":"f","strict":true},"id":"a","type":"function"},{"arguments":{"c":"{\\" kept","d":1},"id":"b","name":"g"},7]}'
+    assert got[1] == '{"content":{"q":[1,2]},"is_error":true,"name":"f","role":"tool","tool_call_id":"{\\"i\\":x"}'
+    assert got[2] == '{"content":"t","role":"assistant","tool_calls":[{"arguments":"no json","id":"c","name":"f"}]}'
+    assert got[3] == '{"content":"' + "y" * 300_000 + '","role":"tool"}'
+
+
+def test_many_turns_without_a_number_are_numbered(spark):
+    df = spark.range(3000).selectExpr("cast(5 as long) as conv_id", "if(id < 2000, null, id) as turn", "'user' as role", "cast(id % 50 as string) as text")
+    rows = chat.messages(df).collect()
+    assert sorted(r["position"] for r in rows) == list(range(3000))
+    assert all((r["turn"] is None) == (r["position"] >= 1000) for r in rows)
