@@ -119,20 +119,27 @@ def merge_verified(edges: DataFrame, verified: DataFrame) -> DataFrame:
     return both.select(*key, F.coalesce("_new", F.lit(False)).alias("lsp"))
 
 
-def prefixes(repos: list[str]) -> dict[str, str]:
-    """A short prefix for each package, no two alike: initials of two parts, or two letters, and more letters as needed.
+def closed(prefix: str) -> str:
+    """A prefix that does not end with a digit, so that prefix and number are read in one way only."""
+    return prefix + "_" if prefix[-1:].isdigit() else prefix
 
-    None ends with a digit, so that prefix and number are read in one way only.
-    """
+
+def prefixes(repos: list[str]) -> dict[str, str]:
+    """A short prefix for each package, no two alike when closed: initials of two parts, or two letters, and more letters or a number as needed."""
     out: dict[str, str] = {}
+    taken: set[str] = set()
+    numbers: dict[tuple[str, int], int] = {}  # by first letters and length: the first number that may be free
     for repo in repos:
         parts = repo.replace("-", " ").split()
         base = parts[0][0] + parts[1][0] if len(parts) >= 2 else repo[:2]
-        closed = lambda x: x + "_" if x[-1:].isdigit() else x
-        taken, prefix, n = set(out.values()), closed(base), 2
-        while prefix in taken:
-            prefix = closed(base + (repo[n] if n < len(repo) else str(n)))
-            n += 1
+        prefix = next((p for p in (base + x for x in ("", *repo[2:])) if closed(p) not in taken), None)
+        if prefix is None:
+            n = numbers.get((base, len(repo)), max(2, len(repo)))
+            while closed(f"{base}{n}") in taken:
+                n += 1
+            prefix = f"{base}{n}"
+            numbers[base, len(repo)] = n + 1
+        taken.add(closed(prefix))
         out[repo] = prefix
     return out
 
@@ -140,14 +147,16 @@ def prefixes(repos: list[str]) -> dict[str, str]:
 def short_ids(modules: DataFrame) -> DataFrame:
     """(module, sid, pkg): the package's prefix and a number in id order.
 
-    Packages get prefixes in the order of their first module; there are few of them.
+    Packages get prefixes in the order of their first module. A package is a repository: one short
+    name each comes to the driver, and prefixes are dealt there in linear time.
     """
-    first = modules.groupBy("pkg").agg(F.min("module").alias("_m")).orderBy("_m").select("pkg").collect()
-    table = prefixes(list(dict.fromkeys(r["pkg"] or "unknown" for r in first)))
-    named = F.broadcast(modules.sparkSession.createDataFrame(list(table.items()), "_pkg string, _prefix string"))
-    order = Window.partitionBy("pkg").orderBy("module")
-    rows = modules.select("module", "pkg", (F.row_number().over(order) - 1).alias("_n"))
-    return rows.join(named, F.when(F.coalesce("pkg", F.lit("")) == "", "unknown").otherwise(F.col("pkg")) == F.col("_pkg")).select("module", F.concat("_prefix", F.col("_n").cast("string")).alias("sid"), "pkg")
+    package = F.when(F.coalesce("pkg", F.lit("")) == "", "unknown").otherwise(F.col("pkg"))
+    named = modules.select("module", "pkg", package.alias("_pkg"))
+    first = named.groupBy("_pkg").agg(F.min("module").alias("_m")).orderBy("_m").select("_pkg").collect()
+    rows = [(repo, closed(prefix)) for repo, prefix in prefixes([r["_pkg"] for r in first]).items()]
+    table = modules.sparkSession.createDataFrame(rows, "_pkg string, _prefix string")
+    numbered = named.withColumn("_n", F.row_number().over(Window.partitionBy("_pkg").orderBy("module")) - 1)
+    return numbered.join(table, "_pkg").select("module", F.concat("_prefix", F.col("_n").cast("string")).alias("sid"), "pkg")
 
 
 def call_edges(calls: DataFrame, paths: DataFrame) -> DataFrame:

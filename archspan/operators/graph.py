@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-#: Levels that are planned as one lazy plan; more levels are cut by written tables.
-PLANNED_LEVELS = 4
+#: Bytes of a frontier that is sent to all executors once it is counted; a row takes about ``FRONTIER_ROW``.
+FRONTIER_BYTES, FRONTIER_ROW = 8 << 20, 256
 
 
 def module_of(entity: str | Column) -> Column:
@@ -72,17 +72,23 @@ def hops(graph: Graph, roots: DataFrame, depth: int, reverse: bool = False) -> D
 
     ``roots`` has a column module. via is the least edge type among the edges
     that reach the module at that distance. Frontiers are expanded together for all roots.
+    Every level but the last is a written table, so that a level is planned once; a small
+    frontier goes to the edges, a large one is joined with them by shuffle.
     """
-    spark = roots.sparkSession
     # The least type over all edges needs no least type of each pair before it.
     near = graph.steps(reverse)
-    scratch = Scratch(spark) if depth > PLANNED_LEVELS else None
+    scratch = Scratch(roots.sparkSession)
     seen = roots.select(F.col("module").alias("root"), "module", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via")).distinct()
+    if depth > 1:
+        seen = scratch.write(seen, "level0")
     frontier = seen
     for level in range(1, depth + 1):
-        reached = frontier.select("root", F.col("module").alias("here")).join(near, "here").groupBy("root", "there").agg(F.min("via").alias("via"))
+        here = frontier.select("root", F.col("module").alias("here"))
+        if depth > 1 and frontier.count() * FRONTIER_ROW <= FRONTIER_BYTES:
+            here = F.broadcast(here)
+        reached = near.join(here, "here").groupBy("root", "there").agg(F.min("via").alias("via"))
         fresh = reached.join(seen.select(F.col("root"), F.col("module").alias("there")), ["root", "there"], "left_anti").select("root", F.col("there").alias("module"), F.lit(level).alias("depth"), "via")
-        if scratch is not None:
+        if level < depth:
             fresh = scratch.write(fresh, f"level{level}")
             if not fresh.take(1):
                 break
@@ -95,7 +101,9 @@ def walk(graph: Graph, roots: DataFrame, depth: int, reverse: bool = False) -> D
     """(root, step, depth, via, module, cycle): rows of the strict walk of each root.
 
     Children are visited by id. The walk runs on the part of the graph within
-    ``depth`` hops of its root, which holds every module it can reach; each root is a task's group.
+    ``depth`` hops of its root, which holds every module it can reach. The order of such a walk is
+    sequential by definition, so each root is one task's group: about 100 bytes of memory for each edge
+    within reach. ``hops`` is the operator for reaches beyond that.
     """
     near = graph.steps(reverse)
     inside = hops(graph, roots, max(depth - 1, 0), reverse).select("root", "module") if depth > 1 else None

@@ -99,10 +99,19 @@ def _preferred(files: DataFrame, names: tuple[str, ...]) -> DataFrame:
     return ranked.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "_r")
 
 
+def _parts(name: str) -> Column:
+    """All different parts of a text, itself included."""
+    size = F.length(name)
+    starting = lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substring(F.col(name), i, n))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), starting)))
+
+
 def _env_edges(rows: DataFrame, known: DataFrame, id_column: str = "id") -> DataFrame:
     """Edges of (id, env): to a known name that holds the dependency's, else to the dependency."""
     deps = rows.withColumn("_d", env_dependency(F.col("env"))).select(id_column, F.col("_d.dep").alias("dep"), F.col("_d.transport").alias("transport")).filter("dep is not null")
-    hits = deps.select("dep").distinct().join(F.broadcast(known.select(F.col("name").alias("_k")).distinct()), F.col("_k").contains(F.col("dep")) | F.col("_k").endswith(F.col("dep")))
+    # A known name holds the dependency's: an equi-join on every part of the known names, which are short.
+    parts = known.select(F.col("name").alias("_k")).distinct().withColumn("dep", F.explode(_parts("_k"))).select("_k", "dep")
+    hits = deps.select("dep").distinct().join(parts, "dep")
     best = hits.groupBy("dep").agg(F.min("_k").alias("_k"))
     named = deps.join(best, "dep", "left").select(F.col(id_column).alias("source"), F.concat(F.lit("infra/"), F.coalesce("_k", "dep")).alias("target"), "transport")
     return named.groupBy("source", "target").agg(F.min("transport").alias("transport")).select("source", "target", F.lit("k8s-depends").alias("edge_type"), F.lit("env").alias("via"), "transport", F.lit("").alias("extra"))

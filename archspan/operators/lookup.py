@@ -61,8 +61,7 @@ def _named(graph: Graph, name: str) -> DataFrame:
     """Entities of that very name, or those that fit it as a pattern if there are none."""
     exact = graph.entities.filter(F.col("name") == name)
     fits = graph.entities.filter(matches(F.col("name"), name))
-    none = exact.agg((F.count(F.lit(1)) == 0).alias("_none"))
-    return exact.unionByName(fits.crossJoin(F.broadcast(none)).filter("_none").drop("_none"))
+    return exact.unionByName(fits.filter(exact.agg(F.count(F.lit(1))).scalar() == 0))
 
 
 def entity_definitions(graph: Graph, name: str) -> DataFrame:
@@ -72,8 +71,11 @@ def entity_definitions(graph: Graph, name: str) -> DataFrame:
 def entity_references(graph: Graph, name: str) -> DataFrame:
     """Edges that touch a name of the definitions, on either end, once each."""
     names = _named(graph, name).select(F.col("name").alias("_n")).distinct()
-    ends = graph.ends
-    return ends.join(F.broadcast(names), (F.col("src_ent") == F.col("_n")) | (F.col("dst_ent") == F.col("_n")), "left_semi").select("etype", "source", "target")
+    # Two equi-joins, whatever the number of names: edges whose source end fits, and of the others those whose target end does.
+    one, two = F.col("src_ent") == F.col("_n"), F.col("dst_ent") == F.col("_n")
+    by_source = graph.ends.join(names, one, "left_semi")
+    by_target = graph.ends.join(names, one, "left_anti").join(names, two, "left_semi")
+    return by_source.unionByName(by_target).select("etype", "source", "target")
 
 
 def refs_to(graph: Graph, name: str) -> DataFrame:

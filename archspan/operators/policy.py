@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify
@@ -50,23 +50,29 @@ def purpose_violations(graph: Graph, via_base: DataFrame | None = None) -> DataF
     return both.select(F.col("src_mod").alias("source"), F.col("dst_mod").alias("target"), F.explode(F.array_compact(details)).alias("detail"))
 
 
-def naming_violations(modules: DataFrame) -> DataFrame:
-    """(module, lang, pkg, actual, expected): names outside the language's conventions."""
+def _named(modules: DataFrame) -> DataFrame:
+    """Modules with a naming convention, and those that their language allows (null: any)."""
     lang = F.col("lang")
     for old, new in OLD_CODES.items():
         lang = F.when(F.col("lang") == old, new).otherwise(lang)
     chain = F.lit(None).cast("array<string>")
     for code, allowed in classify.NAMING_RULES.items():
         chain = F.when(lang == code, F.array(*map(F.lit, sorted(allowed)))).otherwise(chain)
-    rows = modules.filter("naming is not null and naming <> ''").select("module", lang.alias("lang"), "pkg", F.col("naming").alias("actual"), chain.alias("_allowed"))
-    return rows.filter(F.col("_allowed").isNotNull() & ~F.array_contains("_allowed", F.col("actual"))).select("module", "lang", "pkg", "actual", F.array_join("_allowed", " ").alias("expected"))
+    return modules.filter("naming is not null and naming <> ''").select("module", lang.alias("lang"), "pkg", F.col("naming").alias("actual"), chain.alias("_allowed"))
+
+
+def _breaks() -> Column:
+    return F.col("_allowed").isNotNull() & ~F.array_contains("_allowed", F.col("actual"))
+
+
+def naming_violations(modules: DataFrame) -> DataFrame:
+    """(module, lang, pkg, actual, expected): names outside the language's conventions."""
+    return _named(modules).filter(_breaks()).select("module", "lang", "pkg", "actual", F.array_join("_allowed", " ").alias("expected"))
 
 
 def naming_summary(modules: DataFrame) -> DataFrame:
     """(violations, checked)."""
-    bad = naming_violations(modules).agg(F.count(F.lit(1)).alias("violations"))
-    seen = modules.filter("naming is not null and naming <> ''").agg(F.count(F.lit(1)).alias("checked"))
-    return bad.join(F.broadcast(seen), F.lit(True))
+    return _named(modules).agg(F.count_if(_breaks()).alias("violations"), F.count(F.lit(1)).alias("checked"))
 
 
 def id_collisions(modules: DataFrame) -> DataFrame:
@@ -79,13 +85,20 @@ def changed(current: DataFrame, cached: DataFrame) -> DataFrame:
     return current.join(cached.select("path", "content_hash"), ["path", "content_hash"], "left_anti")
 
 
-def analyze_summary(graph: Graph, module: str) -> DataFrame:
+def _at(df: DataFrame, column: str, module: str | DataFrame) -> DataFrame:
+    """Rows of one module, given by id or as a DataFrame of one row at most (column module)."""
+    if isinstance(module, str):
+        return df.filter(F.col(column) == module)
+    return df.join(F.broadcast(module.select(F.col("module").alias("_at"))), F.col(column) == F.col("_at"), "left_semi")
+
+
+def analyze_summary(graph: Graph, module: str | DataFrame) -> DataFrame:
     """(metric, n): counts of edges out by type, modules in by kind, entities and boundary."""
-    ends = graph.ends
-    out = ends.filter((F.col("src_mod") == module) & (F.col("dst_mod") != module)).groupBy(F.concat(F.lit("out:"), "etype").alias("metric")).agg(F.countDistinct("target").alias("n"))
+    ends = graph.ends.filter("src_mod <> dst_mod")
+    out = _at(ends, "src_mod", module).groupBy(F.concat(F.lit("out:"), "etype").alias("metric")).agg(F.countDistinct("target").alias("n"))
     kind = F.when(F.col("etype") == "imports", "imports").otherwise("refs")
-    into = ends.filter((F.col("dst_mod") == module) & (F.col("src_mod") != module)).groupBy(F.concat(F.lit("in:"), kind).alias("metric")).agg(F.countDistinct("src_mod").alias("n"))
-    own = graph.entities.filter(F.col("module") == module).agg(F.count(F.lit(1)).alias("n")).select(F.lit("entities").alias("metric"), "n")
+    into = _at(ends, "dst_mod", module).groupBy(F.concat(F.lit("in:"), kind).alias("metric")).agg(F.countDistinct("src_mod").alias("n"))
+    own = _at(graph.entities, "module", module).agg(F.count(F.lit(1)).alias("n")).select(F.lit("entities").alias("metric"), "n")
     return out.unionByName(into).unionByName(own)
 
 

@@ -33,10 +33,21 @@ def grep(files: DataFrame, functions: DataFrame, pattern: str) -> DataFrame:
     return rows.filter(matches(F.col("text"), pattern)).select("path", "name", (F.col("_start") + F.col("_o")).alias("line_no"), F.col("text").alias("line"))
 
 
+#: Lines of a diff that one task carries a file's name along.
+DIFF_BLOCK = 65_536
+
+
 def hunks(diff_lines: DataFrame) -> DataFrame:
     """(path, start, end) of added ranges, from (line_no, line) of a unified diff without context."""
-    current = F.last(F.when(F.col("line").startswith("+++ b/"), F.col("line").substr(F.lit(7), F.length("line"))), True).over(Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    found = diff_lines.withColumn("path", current).filter(F.col("line").startswith("@@ "))
+    named = F.when(F.col("line").startswith("+++ b/"), F.col("line").substr(F.lit(7), F.length("line")))
+    marks = diff_lines.withColumns({"_named": named, "_block": F.floor(F.col("line_no") / DIFF_BLOCK)}).filter(F.col("_named").isNotNull() | F.col("line").startswith("@@ "))
+    # The name that a block begins with is the last one of the blocks before it; there is a row for each block.
+    lasts = marks.groupBy("_block").agg(F.max_by("_named", F.when(F.col("_named").isNotNull(), F.col("line_no"))).alias("_last"))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.select("_block", F.last("_last", True).over(before).alias("_carried"))
+    along = Window.partitionBy("_block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    current = F.coalesce(F.last("_named", True).over(along), F.col("_carried"))
+    found = marks.join(carried, "_block").withColumn("path", current).filter(F.col("line").startswith("@@ "))
     head = F.regexp_extract("line", r"^@@ -\S+ \+(\d+)(?:,(\d+))? @@", 1).try_cast("int")
     count = F.coalesce(F.regexp_extract("line", r"^@@ -\S+ \+(\d+)(?:,(\d+))? @@", 2).try_cast("int"), F.lit(1))
     return found.select("path", head.alias("start"), (head + count - 1).alias("end")).filter("path is not null and start is not null and end >= start")

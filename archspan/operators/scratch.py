@@ -9,7 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 class Scratch:
-    """Written tables cut the lineage of iterative plans."""
+    """Tables written to the shared folder of ``spark.checkpoint.dir``.
+
+    A written table cuts the lineage, so a lost executor costs a re-read and not
+    a recomputation. ``drop`` removes a table that no later plan reads; the others can go with
+    their folder after the job.
+    """
 
     def __init__(self, spark: SparkSession):
         context = spark.sparkContext
@@ -19,9 +24,14 @@ class Scratch:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="archspan-")
         self.spark = spark
-        self.folder = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
+        self.folder = f"{folder.rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, name: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,9 +7,14 @@ anywhere below their table) and then lives as columns; Parquet is the native for
 
 from __future__ import annotations
 
+import fcntl
+import hashlib
 import os
+import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -192,7 +197,8 @@ def _atom(value) -> Column:
 def fact_text(graph: Graph) -> DataFrame:
     """(part, sort, fact): lines of a map, in the order part, sort."""
     ids = short_ids(graph.modules).select("module", "sid")
-    counts = graph.modules.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(graph.edges.agg(F.count(F.lit(1)).alias("e"))), F.lit(True))
+    count = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    counts = graph.modules.sparkSession.range(1).select(count(graph.modules).alias("n"), count(graph.edges).alias("e"))
     head = counts.select(F.lit(0).alias("part"), F.lit("").alias("sort"), F.concat(F.lit(f"({HEADER} :schema {SCHEMA_VERSION} :files "), F.col("n"), F.lit(" :nodes "), F.col("n"), F.lit(" :edges "), F.col("e"), F.lit(" :violations 0)")).alias("fact"))
     defs = ids.select(F.lit(1).alias("part"), F.col("module").alias("sort"), F.concat(F.lit("(def "), "sid", F.lit(" "), _quoted(F.col("module")), F.lit(")")).alias("fact"))
     flag = lambda name, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f" :{name} "), _atom(F.col(c)))).otherwise("")
@@ -212,15 +218,67 @@ def fact_text(graph: Graph) -> DataFrame:
     return head.unionByName(defs).unionByName(nodes).unionByName(entities).unionByName(edges)
 
 
-def write_map(graph: Graph, path: str) -> None:
-    """One map file in place of an older one, by rename. The text is meant for tools that read one file."""
+def path_trie(rows: list[tuple[list[str], str]], depth: int = 0) -> Iterator[str]:
+    """Lines of a trie over sorted (segments, short id): (dir child ...), (sid leaf) and (sid :self).
+
+    A directory's name runs on over directories that have no other child.
+    """
+    for name, group in groupby(rows, key=lambda row: row[0][depth]):
+        below = list(group)
+        shared = len(os.path.commonprefix([below[0][0], below[-1][0]]))
+        if len(below) == 1:
+            shared -= 1
+        own = [sid for segments, sid in below if len(segments) == shared]
+        deeper = [row for row in below if len(row[0]) > shared]
+        if shared == depth:  # one id that ends here
+            yield f"({deeper[0][1]} {name})"
+            continue
+        yield f"({'/'.join(below[0][0][depth:shared])}"
+        yield from (f"({sid} :self)" for sid in own)
+        yield from path_trie(deeper, shared)
+        yield ")"
+
+
+@contextmanager
+def exclusive(path: str) -> Iterator[None]:
+    """Holds the lock of a map file among the writers of this machine; a second one raises QueryError at once."""
+    name = hashlib.sha256(os.path.abspath(path).encode()).hexdigest()[:16]
+    with open(os.path.join(tempfile.gettempdir(), f"archspan-map-{name}.lock"), "a", encoding="utf-8") as held:
+        try:
+            fcntl.flock(held, fcntl.LOCK_EX | fcntl.LOCK_NB)
+        except BlockingIOError:
+            raise QueryError("locked", path) from None
+        try:
+            yield
+        finally:
+            fcntl.flock(held, fcntl.LOCK_UN)
+
+
+def write_map(graph: Graph, path: str, trie: bool = False) -> None:
+    """One map file in place of an older one, by rename. The text is meant for tools that read one file.
+
+    With ``trie`` the ids' paths are written as a trie, whose nested form the driver holds;
+    ids that are no plain atoms keep their ``def`` lines.
+    """
     temporary = f"{path}.{uuid.uuid4().hex}"
-    with open(temporary, "w", encoding="utf-8") as out:
-        for row in fact_text(graph).orderBy("part", "sort", "fact").toLocalIterator():
-            out.write(row["fact"] + "\n")
-        out.flush()
-        os.fsync(out.fileno())
-    os.replace(temporary, path)
+    with exclusive(path):
+        lines = fact_text(graph)
+        plain = ~F.col("module").rlike(r'[\s"();]') & ~F.col("module").startswith(":")
+        with open(temporary, "w", encoding="utf-8") as out:
+            for part in range(5):
+                if part == 1 and trie:
+                    ids = short_ids(graph.modules).select("module", "sid")
+                    rows = sorted((r["module"].split("/"), r["sid"]) for r in ids.filter(plain).toLocalIterator())
+                    out.writelines(f"{line}\n" for line in ("(paths", *path_trie(rows), ")"))
+                    defs = ids.filter(~plain).select(F.lit(1).alias("part"), F.col("module").alias("sort"), F.concat(F.lit("(def "), "sid", F.lit(" "), _quoted(F.col("module")), F.lit(")")).alias("fact"))
+                    found = defs
+                else:
+                    found = lines.filter(F.col("part") == part)
+                for row in found.orderBy("sort", "fact").toLocalIterator():
+                    out.write(row["fact"] + "\n")
+            out.flush()
+            os.fsync(out.fileno())
+        os.replace(temporary, path)
 
 
 def find_map(start: str) -> str | None:

@@ -113,9 +113,26 @@ union all select concat('wh/types/region_',r_regionkey), r_name, 'typ', 1 from r
 union all select distinct concat('ev/u',user_id), event_type, 'fn', 1 from events"""
 
 
+#: Projected graphs that are kept, by application, folder and whether calls are in.
+_KEPT: dict[tuple[str, str, bool], Graph] = {}
+
+
 def graph(spark: SparkSession, sf_dir: str, with_calls: bool = False) -> Graph:
-    """The projected graph; ``with_calls`` adds the calls between event types."""
-    every = edges(spark, sf_dir)
-    if with_calls:
-        every = every.unionByName(calls(spark, sf_dir).select(F.lit("calls").alias("etype"), "source", "target"))
-    return Graph(modules(spark, sf_dir), entities(spark, sf_dir), every).cached()
+    """The projected graph; ``with_calls`` adds the calls between event types.
+
+    Its edges are kept by the executors, one copy for each folder until ``release``.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, with_calls)
+    if key not in _KEPT:
+        every = edges(spark, sf_dir)
+        if with_calls:
+            every = every.unionByName(calls(spark, sf_dir).select(F.lit("calls").alias("etype"), "source", "target"))
+        _KEPT[key] = Graph(modules(spark, sf_dir), entities(spark, sf_dir), every).cached()
+    return _KEPT[key]
+
+
+def release() -> None:
+    """Free the kept edges."""
+    for found in _KEPT.values():
+        found.edges.unpersist()
+    _KEPT.clear()

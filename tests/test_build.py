@@ -177,3 +177,8 @@ def test_follow_adds_changed_files_once(spark, tmp_path):
         streaming.follow(spark, files, facts, marks).awaitTermination()
     assert spark.read.parquet(facts).count() == 3
     assert {r["path"]: r["exported_names"] for r in streaming.current_facts(spark, facts).collect()} == {"a.py": ["Y"], "b.py": []}
+
+
+def test_source_that_the_parser_cannot_hold_gives_its_import_lines():
+    found = extract_one("a.py", "python", "r", "import os\nx = " + "(" * 100_000)
+    assert found["imports"] == ["os"] and found["entities"] == []
