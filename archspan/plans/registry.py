@@ -17,57 +17,18 @@ from ..functions.pattern import to_like
 from ..operators import edges as E
 from ..operators import graph as G
 from ..operators import build, infra, lookup, policy, ranges, resolve
+from ..operators.scratch import Scratch
 from ..sources import factmap, tree
 from ..sources import projection as P
 from . import sexpr
+from .catalog import QUERIES, SQL
+from .catalog import query as _query
+from .catalog import with_sql as _with
 
 PART = "wh/services/part_10"
 SUPPLIER = "wh/infra/supplier_3"
 NATION = "wh/domain/nation_3"
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-_CTES = {
-    "edges": P.EDGES_SQL,
-    "neighbors": P.NEIGHBORS_SQL,
-    "modules": P.MODULES_SQL,
-    "calls": P.CALLS_SQL,
-    "entities": P.ENTITIES_SQL,
-    "layered": f"select module, purpose, {classify.layer_by_path_sql('module')} as layer from modules",
-    "ends": "select etype, source, target, split_part(source,'::',1) as src_mod, split_part(target,'::',1) as dst_mod, nullif(split_part(source,'::',2),'') as src_ent, nullif(split_part(target,'::',2),'') as dst_ent from edges",
-    "deny": "select * from (values " + ",".join(f"('{a}','{b}','{c}')" for a, b, c in classify.DENY_RULES) + ") t(src_layer, dst_layer, reason)",
-    "lines": "select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) + 1 as line_no from documents",
-}
-_NEEDS = {"neighbors": ("edges",), "layered": ("modules",), "ends": ("edges",)}
-
-
-def _with(*names: str, recursive: str = "") -> str:
-    """WITH clause of the named pieces and what they need."""
-    order: list[str] = []
-
-    def add(name: str) -> None:
-        for needed in _NEEDS.get(name, ()):
-            add(needed)
-        if name not in order:
-            order.append(name)
-
-    for name in names:
-        add(name)
-    body = ", ".join(f"{n} as ({_CTES[n]})" for n in order)
-    return f"with recursive {body}{', ' + recursive if recursive else ''} " if body or recursive else ""
-
-
-def _query(name: str, sql: str | None = None):
-    def keep(function):
-        _QUERIES[name] = function
-        if sql:
-            _SQL[name] = sql
-        return function
-
-    return keep
-
-
 def _hop_sql(root: str, depth: int, reverse: bool = False) -> str:
     """Levels 1..depth as CTEs over ``near``."""
     here, there = ("dst_mod", "src_mod") if reverse else ("src_mod", "dst_mod")
@@ -136,7 +97,7 @@ for _k in (1, 2):
     _query(f"rdeps_k{_k}", _hop_sql(SUPPLIER, _k, True))(lambda s, d, k=_k: G.hops(P.graph(s, d), _roots(s, SUPPLIER), k, True).select("module", "depth", "via"))
 _query("deps_k6_frontier", _hop_sql(PART, 6))(lambda s, d: G.hops(P.graph(s, d), _roots(s, PART), 6).select("module", "depth", "via"))
 _query("deps_strict")(lambda s, d: G.walk(P.graph(s, d), _roots(s, PART), 3))
-_query("flow_entity")(lambda s, d: G.flow(P.graph(s, d), PART, "line1", 2))
+_query("flow_entity")(lambda s, d: G.flow(P.graph(s, d), PART, "line1"))
 _query("find_callers", _with("calls") + "select source, target from calls where split_part(target,'::',2) like '%purchase%'")(lambda s, d: lookup.find_callers(P.graph(s, d, True), "purchase"))
 _query("find_calls", _with("calls") + "select source, target from calls where split_part(source,'::',2) like '%purchase%'")(lambda s, d: lookup.find_calls(P.graph(s, d, True), "purchase"))
 
@@ -185,7 +146,8 @@ def _names(spark, sf_dir):
     return read("part", "p_name").union(read("nation", "n_name")).union(read("region", "r_name")).union(read("customer", "c_mktsegment")).distinct()
 
 
-_query("layer_by_purpose_fuzzy")(lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_type").distinct().select(F.lower("p_type").alias("purpose"), classify.layer_by_purpose(F.concat(F.lit("servce "), "p_type")).alias("layer")))
+# One letter is missing from a keyword; no other word of a type is as near to one.
+_query("layer_by_purpose_fuzzy", "select distinct lower(p_type) as purpose, 'service' as layer from part")(lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_type").distinct().select(F.lower("p_type").alias("purpose"), classify.layer_by_purpose(F.concat(F.lit("servce "), "p_type")).alias("layer")))
 _query(
     "analyze_summary",
     _with("ends", "entities") + f"select concat('out:',etype) as metric, count(distinct target) as n from ends where src_mod='{PART}' and dst_mod<>'{PART}' group by etype union all select concat('in:', case when etype='imports' then 'imports' else 'refs' end), count(distinct src_mod) from ends where dst_mod='{PART}' and src_mod<>'{PART}' group by 1 union all select 'entities', count(*) from entities where module='{PART}'",
@@ -233,10 +195,6 @@ def _starts(spark, sf_dir):
 _query("grep_lines", _with("lines") + "select concat('d',doc_id) as path, concat('fn', ((line_no-1)//10)*10+1) as name, cast(line_no as int) as line_no, line from lines where lower(line) like '%that%the%' escape '!'")(lambda s, d: ranges.grep(_files(s, d), _starts(s, d), "that.*the"))
 _query(
     "enclosing_entity_asof",
-    _with("lines") + "select concat('d',doc_id) as path, line_no*7 as ref_id, cast(line_no as int) as ref_line, concat('fn', ((line_no-1)//10)*10+1) as name from lines where line_no%7=0",
-)(lambda s, d: ranges.enclosing(ranges.source_lines(_files(s, d)).filter("line_no % 7 = 0").select("path", (F.col("line_no") * 7).alias("ref_id"), F.col("line_no").alias("ref_line")), _starts(s, d)))
-_query(
-    "enclosing_entity_asof_all",
     _with("lines") + "select concat('d',doc_id) as path, line_no*7 as ref_id, cast(line_no as int) as ref_line, concat('fn', ((line_no-1)//10)*10+1) as name from lines",
 )(lambda s, d: ranges.enclosing(ranges.source_lines(_files(s, d)).select("path", (F.col("line_no") * 7).alias("ref_id"), F.col("line_no").alias("ref_line")), _starts(s, d)))
 _query(
@@ -263,8 +221,8 @@ def _import_edges(spark, sf_dir):
     return E.import_edges(resolved, abstract).select("source", "target", F.array_join("relations", ",").alias("relations"), "via_base")
 
 
-_query("provider_unique", "select p_name as symbol, min(concat('p',p_partkey)) as module from part group by p_name having count(distinct p_partkey)=1")(
-    lambda s, d: E.unique_providers(s.read.parquet(f"{d}/part.parquet").select(F.col("p_name").alias("symbol"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("module")))
+_query("provider_unique", "select concat(p_brand,p_size) as symbol, min(concat('p',p_partkey)) as module from part group by 1 having count(distinct p_partkey)=1")(
+    lambda s, d: E.unique_providers(s.read.parquet(f"{d}/part.parquet").select(F.concat("p_brand", F.col("p_size").cast("string")).alias("symbol"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("module")))
 )
 _ASKED = "select distinct concat('o',l_orderkey) as source, concat('t',l_suppkey%50) as symbol from lineitem where l_linenumber<=2"
 _query(
@@ -291,20 +249,27 @@ _query("data_flow_edges", "select distinct concat('o',l_orderkey) as source, con
         s.read.parquet(f"{d}/part.parquet").filter("p_size > 40").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("module")),
     )
 )
+# Every brand asks for the names of its own parts (one entity or several), for their last parts, for the
+# names of the parts behind (exported or unknown there), and for its default.
 _query(
     "reference_target_tiers",
-    "with e as (select concat('b',p_brand) as target, p_name as name, p_partkey from part), q as (select distinct concat('b',b.p_brand) as target, n.p_name as original from (select distinct p_brand from part) b cross join (select distinct p_name from part) n) "
-    "select q.target, q.original, q.original as local, q.original as entity from q join e on e.target=q.target and e.name=q.original group by q.target, q.original having count(*)=1",
+    "with p as (select concat('b',p_brand) as target, p_name as name, p_partkey as k from part), "
+    "e as (select target, case when k%3=0 then concat('Mod::',name) else name end as name, k from p), x as (select target, concat(name,'!') as name, k from p where k%2=0), "
+    "q as (select target, name as original, name as local from p union select p.target, concat(n.name,'!'), concat(n.name,'!') from p join p n on n.k=p.k+1 union select target, 'default', 'none' from p), "
+    "c as (select q.target, q.original, q.local, count(*) filter (e.name=q.original) as n1, count(*) filter (regexp_extract(e.name,'[^:]*$')=q.original) as n2, min(e.name) filter (e.name=q.original) as e1, min(e.name) filter (regexp_extract(e.name,'[^:]*$')=q.original) as e2 "
+    "from q left join e on e.target=q.target group by all) "
+    "select * from (select c.target, c.original, c.local, coalesce(case when n1=1 then e1 when n1=0 and n2=1 then e2 end, case when exists (select 1 from x where x.target=c.target and x.name=c.original) then c.original when c.original='default' then (select min_by(x.name, x.k) from x where x.target=c.target) end) as entity from c) r where entity is not null",
 )(lambda s, d: _tiers(s, d))
 
 
 def _tiers(spark, sf_dir):
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    own = part.select(F.concat(F.lit("b"), "p_brand").alias("module"), F.col("p_name").alias("name"))
-    brands = part.select(F.concat(F.lit("b"), "p_brand").alias("target")).distinct()
-    asked = brands.join(F.broadcast(part.select(F.col("p_name").alias("original"), F.col("p_name").alias("local")).distinct()), F.lit(True))
-    none = own.limit(0).select("module", "name", F.lit(0).alias("ord"))
-    return E.target_entities(asked, own, none)
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("b"), "p_brand").alias("target"), F.col("p_name").alias("name"), F.col("p_partkey").alias("k"))
+    shown = lambda c: (c.alias("original"), c.alias("local"))
+    entities = part.select(F.col("target").alias("module"), F.when(F.col("k") % 3 == 0, F.concat(F.lit("Mod::"), "name")).otherwise(F.col("name")).alias("name"))
+    exported = part.filter("k % 2 = 0").select(F.col("target").alias("module"), F.concat("name", F.lit("!")).alias("name"), F.col("k").alias("ord"))
+    behind = part.select("target", (F.col("k") + 1).alias("k")).join(part.select("k", F.concat("name", F.lit("!")).alias("n")), "k")
+    asked = part.select("target", *shown(F.col("name"))).unionByName(behind.select("target", *shown(F.col("n")))).unionByName(part.select("target", F.lit("default").alias("original"), F.lit("none").alias("local")))
+    return E.target_entities(asked.distinct(), entities, exported)
 
 
 _query(
@@ -333,7 +298,14 @@ def _order_parts(spark, sf_dir, where):
     return line.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("source"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target"), F.lit("calls").alias("etype"))
 
 
-_query("short_ids", _with("modules") + "select module, concat(case pkg when 'MIDDLE EAST' then 'ME' else substr(pkg,1,2) end, row_number() over (partition by pkg order by module)-1) as sid, pkg from modules where lang='py'")(lambda s, d: E.short_ids(P.modules(s, d).filter("lang = 'py'")))
+def _by_language(spark, sf_dir):
+    """The whole graph with its languages as packages: six prefixes, of which two collide."""
+    whole = P.graph(spark, sf_dir)
+    return G.Graph(whole.modules.withColumn("pkg", F.col("lang")), whole.entities, whole.edges)
+
+
+_query("short_ids", _with("sids") + "select module, sid, pkg from sids")(lambda s, d: E.short_ids(_by_language(s, d).modules))
+_query("short_ids_all")(lambda s, d: E.short_ids(P.modules(s, d)))
 
 # Infrastructure.
 _ENV = "select distinct concat(upper(replace(p_name,' ','_')), case p_size%4 when 0 then '_HOST' when 1 then '_URL' when 2 then '_SERVICE_HOST' else '_PORT' end) as env from part union select 'DATABASE_URL' union select 'REDIS_URI' union select 'NATS_URL' union select 'S3_ENDPOINT_X'"
@@ -415,36 +387,49 @@ _query(
     "build_edges",
     "with p as (select concat('src/n',s_nationkey,'/s',s_suppkey) as m, concat('src/n',s_nationkey,'/base') as b, s_suppkey as k from supplier) select 'imports' as etype, m as source, b as target from p union all select 'calls-api', m, b from p union all select 'refs', concat(m,'::Impl',k), concat(b,'::Port') from p",
 )(lambda s, d: build.build(file_facts(_sources(s, d)), resolve.Configs([])).edges.select("etype", "source", "target"))
-_query("fact_nodes", _with("modules") + "select concat('(node ', case pkg when 'MIDDLE EAST' then 'ME' else substr(pkg,1,2) end, '0 py \"type definitions\" :naming snake_case :pkg ', case when position(' ' in pkg)>0 then concat('\"',pkg,'\"') else pkg end, ')') as fact from modules where lang='py'")(
-    lambda s, d: factmap.fact_text(_regions(s, d)).filter("part = 2").select("fact")
-)
-_query("factmap_roundtrip", _with("modules") + "select module, lang, pkg, purpose from modules where lang in ('py','ts')")(lambda s, d: _roundtrip(s, d).select("module", "lang", "pkg", "purpose"))
-
-
-def _regions(spark, sf_dir, languages=("py",)):
-    whole = P.graph(spark, sf_dir)
-    return G.Graph(whole.modules.filter(F.col("lang").isin(*languages)), whole.entities.limit(0), whole.edges.limit(0))
+# Facts as text, and written and read again as one file.
+_ATOM = "case when {0} like '% %' then concat('\"',{0},'\"') else {0} end"
+_facts = lambda part: lambda s, d: factmap.fact_text(_by_language(s, d)).filter(F.col("part") == part).select("fact")
+_query("fact_nodes", _with("sids", "modules") + "select concat('(node ',sid,' ',lang,' \"',purpose,'\" :naming snake_case :pkg ',lang,')') as fact from modules join sids using (module)")(_facts(2))
+_query(
+    "fact_entities",
+    _with("sids", "entities") + f"select concat('(',kind,' ',coalesce(sid,e.module),' ',{_ATOM.format('name')},' ',line,case kind when 'cls' then ' (:methods price line1)' else '' end,')') as fact from entities e left join sids s on s.module=e.module",
+)(_facts(3))
+_query(
+    "fact_edges",
+    _with("sids", "ends") + "select concat('(',etype,' ',coalesce(s.sid,src_mod),coalesce('::'||src_ent,''),' ',coalesce(t.sid,dst_mod),coalesce('::'||dst_ent,''),')') as fact from ends left join sids s on s.module=src_mod left join sids t on t.module=dst_mod",
+)(_facts(4))
+_query("fact_lines_all")(lambda s, d: factmap.fact_text(P.graph(s, d)).select("part", "fact"))
+_WRITTEN: dict[tuple[str, str, bool], G.Graph] = {}
 
 
-def _roundtrip(spark, sf_dir):
-    """Modules of regions and nations as fact text, read back."""
-    lines = factmap.fact_text(_regions(spark, sf_dir, ("py", "ts")))
-    text = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "sort", "fact"))), lambda x: x["fact"]), "\n").alias("value"))
-    return factmap.graph_of(factmap.parse_texts(text)).modules
+def _rewritten(spark, sf_dir, trie=False):
+    """The whole graph written as a map file and read back, once for each folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, trie)
+    if key not in _WRITTEN:
+        path = Scratch(spark).folder.removeprefix("file:") + ".sexp"
+        factmap.write_map(P.graph(spark, sf_dir), path, trie)
+        facts = Scratch(spark).write(factmap.read_facts(spark, path), "facts")
+        _WRITTEN[key] = factmap.graph_of(facts)
+    return _WRITTEN[key]
 
 
-# Whole projections, without SQL: the prefixes of all packages and the facts of all parts.
-_QUERIES["short_ids_all"] = lambda s, d: E.short_ids(P.modules(s, d))
-_QUERIES["fact_lines_all"] = lambda s, d: factmap.fact_text(P.graph(s, d)).select("part", "fact")
+_query("factmap_roundtrip", _with("modules") + "select module, lang, pkg, purpose from modules")(lambda s, d: _rewritten(s, d).modules.select("module", "lang", "pkg", "purpose"))
+_query("factmap_trie_roundtrip", _with("modules") + "select module, lang, pkg, purpose from modules")(lambda s, d: _rewritten(s, d, True).modules.select("module", "lang", "pkg", "purpose"))
+_query("factmap_roundtrip_entities", _with("entities") + "select module, name, kind, line from entities")(lambda s, d: _rewritten(s, d).entities.select("module", "name", "kind", "line"))
+_query("factmap_roundtrip_edges", _with("edges") + "select etype, source, target from edges")(lambda s, d: _rewritten(s, d, True).edges.select("etype", "source", "target"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _QUERIES["boundary"](spark, sf_dir)
+    return QUERIES["boundary"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
+
+
+from . import graphs, tree_queries  # noqa: E402, F401  they add their queries

@@ -311,7 +311,7 @@ class Report:
         return [*(fact("diff-fn", r["name"], line=r["line"], file=quoted(r["path"])) for r in rows), fact("diff-functions-summary", changed=len(rows), files=len(files), ref=quoted(ref))]
 
     def query(self, *words: str) -> list[str]:
-        got = sexpr.query(self.graph, " ".join(words))
+        got = sexpr.query(self.graph, " ".join(words), self.diff)
         values = sorted(str(r[0]) for r in got.collect())
         if got.columns == ["module"]:
             self.know(values)

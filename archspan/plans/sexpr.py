@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import classify
 from ..functions.pattern import QueryError, depth_of, matches
 from ..operators import graph as G
-from ..operators import lookup, policy
+from ..operators import lookup, policy, ranges
 from ..operators.graph import Graph
 
 
@@ -73,8 +73,8 @@ def parse(text: str):
 class Compiler:
     """Turns a form into a DataFrame with a column ``module`` (or ``path``, ``n``, ``layer``)."""
 
-    def __init__(self, graph: Graph):
-        self.graph = graph
+    def __init__(self, graph: Graph, diff: Callable[[str], DataFrame] | None = None):
+        self.graph, self.diff = graph, diff
 
     def run(self, text: str) -> DataFrame:
         return self.eval(parse(text))
@@ -196,8 +196,18 @@ class Compiler:
         return lookup.search(self.graph.modules, str(pattern))
 
     def _do_analyze(self, pattern=""):
-        return policy.analyze_summary(self.graph, self._ids(pattern).first()[0])
+        """Of several ids the least; without one only the count of no entities."""
+        return policy.analyze_summary(self.graph, self._ids(pattern).agg(F.min("module").alias("module")))
 
+    def _do_diff_functions(self, ref="HEAD"):
+        """Modules of the functions that a diff against ``ref`` changes."""
+        if self.diff is None:
+            raise QueryError("no-diff", "diff-functions needs a working tree")
+        by_path = self.graph.modules.select("module", "path")
+        changed = ranges.changed_entities(ranges.hunks(self.diff(str(ref))), self.graph.entities.join(by_path, "module").select("path", "name", "line"))
+        return changed.join(by_path, "path").select("module").distinct()
 
-def query(graph: Graph, text: str) -> DataFrame:
-    return Compiler(graph).run(text)
+
+def query(graph: Graph, text: str, diff: Callable[[str], DataFrame] | None = None) -> DataFrame:
+    """``diff`` gives the lines (line_no, line) of a diff against a reference, for ``diff-functions``."""
+    return Compiler(graph, diff).run(text)

@@ -35,7 +35,14 @@ def test_equals_sql(spark, views, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_runs(spark, name):
-    assert registry.queries()[name](spark, SF).columns
+    df = registry.queries()[name](spark, SF)
+    assert df.columns and all(len(r) == len(df.columns) for r in df.collect())
+
+
+@pytest.mark.parametrize("name", sorted(registry.queries()))
+def test_no_query_joins_all_pairs(spark, name):
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
 def test_flagship_has_rows(spark):

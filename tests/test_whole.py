@@ -16,7 +16,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
 def test_every_line_is_looked_up(spark):
     texts = spark.read.parquet(f"{SF}/documents.parquet").collect()
     want = sorted((f"d{r['doc_id']}", i + 1, f"fn{i // 10 * 10 + 1}") for r in texts for i in range(len(r["text"].split("\n"))))
-    got = sorted((r["path"], r["ref_line"], r["name"]) for r in registry.queries()["enclosing_entity_asof_all"](spark, SF).collect())
+    got = sorted((r["path"], r["ref_line"], r["name"]) for r in registry.queries()["enclosing_entity_asof"](spark, SF).collect())
     assert got == want
 
 
