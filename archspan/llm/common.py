@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shipping
+from ..operators.scratch import Scratch  # noqa: F401  for the operators here
+
 #: White space of the contracts, as a character class body of Java and Python patterns.
 SPACE = r"\x20\x09-\x0D"
 
@@ -63,7 +61,6 @@ def small(df: DataFrame, rows: int, row_bytes: int = 96) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
-_SHIPPED: set[str] = set()
 #: Bytes of rows that go to a Python worker at a time; buffers on both sides hold a multiple.
 BATCH_BYTES = 4 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -75,46 +72,6 @@ def ship(spark: SparkSession) -> None:
     Also lowers the session's bytes of an Arrow batch to ``BATCH_BYTES``, if they are
     more: rows hold whole texts, and ten thousand of them are too many to buffer at once.
     """
-    context = spark.sparkContext
+    shipping.ship(spark)
     if int("".join(filter(str.isdigit, spark.conf.get(_BATCH_SETTING)))) > BATCH_BYTES:
         spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
-    if context.applicationId in _SHIPPED:
-        return
-    _SHIPPED.add(context.applicationId)
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    target = os.path.join(tempfile.mkdtemp(prefix="archspan-"), "archspan_package.zip")
-    with zipfile.ZipFile(target, "w") as out:
-        for folder, _, names in os.walk(package):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    out.write(full, os.path.relpath(full, os.path.dirname(package)))
-    context.addPyFile(target)
-
-
-class Scratch:
-    """Tables written to the shared folder of ``spark.checkpoint.dir``.
-
-    A written table cuts the lineage, so a lost executor costs a re-read and not
-    a recomputation. ``drop`` removes a table that no later plan reads.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        context = spark.sparkContext
-        folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if context.master != "local" and not context.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="archspan-")
-        self.folder = f"{folder.rstrip('/')}/scratch-{uuid.uuid4().hex}"
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.folder}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

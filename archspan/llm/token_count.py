@@ -11,7 +11,8 @@ one by one.
 The vocabulary file is read by each worker from a path all executors have, or
 shipped as a broadcast of its fixed size by ``load``.
 
-Null text counts as empty: 0 bytes, 0 tokens.
+Null text counts as empty: 0 bytes, 0 tokens. Repeated rows are counted alike, each on its
+own row; texts of any length are counted whole.
 """
 
 from __future__ import annotations
