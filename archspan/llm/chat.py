@@ -32,6 +32,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 BLOCK_TURNS = 1024
 #: Blocks of a conversation's turns without a number.
 NULL_BLOCKS = 1024
@@ -157,16 +159,11 @@ def messages(turns: DataFrame, schemas: dict[str, dict] | None = None) -> DataFr
     are no tool results, else whether the call exists. message is canonical JSON.
     """
     schemas = schemas or {}
-    turns = turns.select("conv_id", "turn", "role", "text")
-    parsed = turns.withColumn("_j", _parsed())
+    scratch = Scratch(turns.sparkSession)
+    parsed = turns.select("conv_id", "turn", "role", "text").withColumn("_j", _parsed())
     result_id = F.when(F.col("role") == "tool", F.try_variant_get("_j", "$.tool_call_id", "string"))
     listed = F.when(F.col("role") == "assistant", F.try_variant_get("_j", "$.tool_calls", "array<variant>"))
     parsed = parsed.withColumn("_id", result_id).withColumn("_calls", listed)
-    first = calls(turns).filter("call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.coalesce("turn", F.lit(_LAST))).alias("_at")).withColumnsRenamed({"conv_id": "_v", "call_id": "_w"})
-    rows = parsed.join(first.hint("shuffle_hash"), parsed.conv_id.eqNullSafe(first["_v"]) & (parsed["_id"] == first["_w"]), "left")
-    own = F.coalesce("turn", F.lit(_LAST))
-    place = F.greatest(own, F.coalesce("_at", own))
-    rows = rows.withColumns({"_place": place, "_late": (place != own).cast("int"), "_own": own})
 
     def wrong(c: Column) -> Column:
         raw = F.coalesce(F.try_variant_get(c, "$.function.arguments", "variant"), F.try_variant_get(c, "$.arguments", "variant"))
@@ -186,17 +183,39 @@ def messages(turns: DataFrame, schemas: dict[str, dict] | None = None) -> DataFr
     tool = _object(entries)
     called = _object(_with(entries, "tool_calls", F.concat(F.lit("["), F.array_join(F.transform("_calls", _canonical_call), ","), F.lit("]"))))
     message = F.when(F.col("_id").isNotNull(), tool).when(F.col("_calls").isNotNull(), called).otherwise(plain)
+    # Every turn is parsed and formatted once; what follows reads the written table.
+    formatted = scratch.write(
+        parsed.select(
+            "conv_id",
+            "turn",
+            "role",
+            "_id",
+            F.transform("_calls", lambda c: F.try_variant_get(c, "$.id", "string")).alias("_made"),
+            F.greatest(F.coalesce(F.size("_calls"), F.lit(0)), F.lit(0)).alias("n_calls"),
+            bad.alias("n_invalid"),
+            F.coalesce("turn", F.lit(_LAST)).alias("_own"),
+            message.alias("message"),
+        ),
+        "turns",
+    )
+    made = formatted.select("conv_id", "_own", F.explode("_made").alias("_w")).filter("_w is not null")
+    first = made.groupBy(F.col("conv_id").alias("_v"), "_w").agg(F.min("_own").alias("_at"))
+    results = formatted.filter("_id is not null")
+    linked = results.join(first.hint("shuffle_hash"), results.conv_id.eqNullSafe(first["_v"]) & (results["_id"] == first["_w"]), "left").drop("_v", "_w")
+    rows = linked.unionByName(formatted.filter("_id is null").withColumn("_at", F.lit(None).cast("long")))
+    place = F.greatest("_own", F.coalesce("_at", "_own"))
+    spread = F.when(place == _LAST, F.pmod(F.xxhash64("role", "message"), F.lit(NULL_BLOCKS))).otherwise(0)
     rows = rows.select(
         "conv_id",
         "turn",
         "role",
-        F.greatest(F.coalesce(F.size("_calls"), F.lit(0)), F.lit(0)).alias("n_calls"),
-        bad.alias("n_invalid"),
+        "n_calls",
+        "n_invalid",
         F.when(F.col("_id").isNotNull(), F.col("_at").isNotNull()).alias("linked"),
-        message.alias("message"),
-        (F.floor(F.col("_place") / BLOCK_TURNS) + F.when(F.col("_place") == _LAST, F.pmod(F.xxhash64("role", "text"), F.lit(NULL_BLOCKS))).otherwise(0)).alias("_block"),
-        "_place",
-        "_late",
+        "message",
+        (F.floor(place / BLOCK_TURNS) + spread).alias("_block"),
+        place.alias("_place"),
+        (place != F.col("_own")).cast("int").alias("_late"),
         "_own",
     )
     sizes = rows.groupBy("conv_id", "_block").agg(F.count(F.lit(1)).alias("_size"))
