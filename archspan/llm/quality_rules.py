@@ -26,14 +26,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, without, words
+from .common import SPACE, Scratch, without, words
 
 #: Words of a repeated window; the pairwise hashing below is for this value.
 WINDOW = 8
 #: Rows on which cost and selectivity are measured. They only order the rules.
 SAMPLE_ROWS = 256
 #: Longer texts are left out of that sample, so that it fits the driver.
-SAMPLE_BYTES = 1 << 16
+SAMPLE_BYTES = 1 << 14
 
 #: Groups of statistics that ``cascade_verdict`` gives for every row unless asked for others.
 REPORTED = ("words", "symbols", "lines", "repeats")
@@ -141,8 +141,10 @@ def with_statistics(df: DataFrame, groups: tuple[str, ...] = tuple(_ADD)) -> Dat
 
 def measure(df: DataFrame, rules: tuple[Rule, ...] = (*BASE, *RULES)) -> list[tuple[str, float, float]]:
     """(rule, seconds on the sample, rejected share) for each rule."""
-    few = df.select("text").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES).take(SAMPLE_ROWS)
-    sample = df.sparkSession.createDataFrame([tuple(r) for r in few], "text string").repartition(1)
+    few = df.select("text").filter(F.octet_length("text") <= SAMPLE_BYTES).take(SAMPLE_ROWS)
+    texts = F.array(*[F.lit(r["text"]) for r in few]).cast("array<string>")
+    scratch = Scratch(df.sparkSession)
+    sample = scratch.write(df.sparkSession.range(1).select(F.explode(texts).alias("text")), "rule_sample")
 
     def timed(needs: tuple[str, ...], passes: Column) -> tuple[float, float]:
         plan = with_statistics(sample, needs).agg(F.avg((~passes).cast("double")))
@@ -156,6 +158,7 @@ def measure(df: DataFrame, rules: tuple[Rule, ...] = (*BASE, *RULES)) -> list[tu
     for rule in rules:
         seconds, share = timed(rule.needs, rule.passes())
         found.append((rule.name, max(seconds - floor, 1e-3), share))
+    scratch.drop("rule_sample")
     return found
 
 
