@@ -351,7 +351,11 @@ def _terraform(spark, sf_dir):
 
 _query("infra_kustomize_nodes", "select concat('infra/part-',p_partkey) as id, 'deployment' as kind, concat('reg/',p_brand,':v',p_size) as image, cast(p_size+8000 as int) as port, '' as component, concat('k8s/p',p_partkey,'/deployment.yaml') as source_file from part")(lambda s, d: infra.topology(_deployments(s, d))[0])
 _query("infra_kustomize_edges", "select concat('infra/part-',p_partkey) as source, 'infra/redis' as target, 'k8s-depends' as edge_type, 'env' as via, 'tcp' as transport, '' as extra from part union all select concat('infra/part-',p_partkey), p_brand, 'infra-maps', 'image-name', '', '' from part")(lambda s, d: infra.topology(_deployments(s, d))[1])
-_query("infra_terraform_nodes", "select concat('infra/tf-n',n_nationkey) as id, 'module' as component from nation union all select concat('infra/tf-res',n_nationkey), 'kind' from nation union all select distinct concat('infra/tf-r',n_regionkey), 'module' from nation")(lambda s, d: infra.topology(_terraform(s, d))[0].select("id", "component"))
+_query(
+    "infra_terraform_nodes",
+    "select id, 'terraform' as kind, '' as image, cast(0 as int) as port, component, min(concat('tf/',k)) as source_file from (select concat('infra/tf-n',n_nationkey) as id, 'module' as component, n_nationkey as k from nation "
+    "union all select concat('infra/tf-res',n_nationkey), 'kind', n_nationkey from nation union all select concat('infra/tf-r',n_regionkey), 'module', n_nationkey from nation) t group by id, component",
+)(lambda s, d: infra.topology(_terraform(s, d))[0])
 _query("infra_terraform_edges", "select concat('infra/tf-n',n_nationkey) as source, concat('infra/tf-r',n_regionkey) as target, 'module-reference' as via from nation")(lambda s, d: infra.topology(_terraform(s, d))[1].select("source", "target", "via"))
 
 # Sources made of the tables' rows.

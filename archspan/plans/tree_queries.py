@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import subprocess
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import streaming
 from ..extract import file_facts
-from ..operators import build, infra, resolve, vcs
+from ..operators import build, infra, ranges, resolve, vcs
 from ..operators.scratch import Scratch
 from ..sources import factmap, tree
 from . import trees
@@ -323,6 +324,32 @@ query("commit_listing", "select concat('c',conv_id,'_',turn) as sha, case when r
     lambda s, d: vcs.listing(_commits(s, d).filter("first_parent is not null").select("sha"), _commits(s, d).filter("role = 'user'").select("sha", F.col("text").alias("subject")))
 )
 
+# A repository of two commits and a change that is not committed.
+def _repository(spark: SparkSession) -> str:
+    root = on_disk(spark, {".gitignore": "*.log\nout/\n", "a.py": "x = 1\ny = 2\n", "keep.log": "", "out/x.py": ""})
+    git = lambda *args: subprocess.run(["git", "-c", "user.name=a", "-c", "user.email=a@b", "-C", root, *args], check=True, capture_output=True)
+    git("init", "-q")
+    for subject, text in (("first", "x = 1\ny = 2\n"), ("second", "x = 1\ny = 3\nz = 4\n")):
+        with open(os.path.join(root, "a.py"), "w", encoding="utf-8") as out:
+            out.write(text)
+        git("add", "a.py", ".gitignore")
+        git("commit", "-qm", subject)
+    with open(os.path.join(root, "a.py"), "a", encoding="utf-8") as out:
+        out.write("w = 5\nv = 6\n")
+    return root
+
+
+@query("git_history", "select * from (values ('first', null), ('second', 'first')) v(subject, parent)")
+def _git_history(spark, sf_dir):
+    root = _repository(spark)
+    commits, subjects = tree.commits(spark, root), tree.subjects(spark, root)
+    named = commits.join(subjects, "sha").select("subject", "first_parent")
+    return named.join(subjects.select(F.col("sha").alias("first_parent"), F.col("subject").alias("parent")), "first_parent", "left").select("subject", "parent")
+
+
+query("git_diff", "select 'a.py' as path, cast(4 as int) as start, cast(5 as int) as \"end\"")(lambda s, d: ranges.hunks(tree.diff_lines(s, _repository(s), "HEAD")))
+query("git_ignored", "select * from (values ('keep.log'), ('out/x.py')) v(path)")(lambda s, d: tree.git_ignored(s, _repository(s), ["keep.log", "out/x.py", "a.py"]))
+
 # Charts and services, as tables and as facts.
 CHARTS = {
     "h@/Chart.yaml": "name: chart@\ndependencies:\n- name: redis\n- name: queue@\n",
