@@ -1,6 +1,6 @@
 """Recurring lines across documents, found with a log-template tree.
 
-A line is parsed to its tokens; tokens with a digit or @ or :// are variable
+A line is parsed to its tokens by built-in functions; tokens with a digit or @ or :// are variable
 fields. The tree has a fixed depth: token count, then the leading ``DEPTH``
 tokens. Lines of one leaf are clustered: a line joins the template that shares
 most of its tokens, ``ALIKE`` of them at least, and positions that differ become fields
@@ -26,16 +26,15 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, packed, row_key, ship, small, unpacked
+from .common import SPACE, Scratch, packed, row_key, ship, small, unpacked
 
 DEPTH = 3
 ALIKE = 0.6
@@ -46,57 +45,43 @@ MIN_TOKENS = 5
 #: Lines of a leaf that are sent on at a time.
 LEAF_LINES = 2048
 FIELD = b"<*>"
-_VARIABLE = re.compile(rb"[0-9@]|://")
 
 
 def _hash(raw: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
 
 
-def parse(line: bytes) -> list[bytes]:
-    """Tokens of a line with variable fields masked."""
-    tokens = line.split()
-    if _VARIABLE.search(line):
-        tokens = [FIELD if _VARIABLE.search(t) else t for t in tokens]
-    return tokens
-
-
-def leaf_of(tokens: list[bytes]) -> int:
-    return _hash(b"%d " % len(tokens) + b" ".join(tokens[:DEPTH]))
-
-
-def _parsed(docs: DataFrame, with_line: bool) -> DataFrame:
-    """(_k, doc_id, line, leaf, hash, exact, least[, masked]) of every line of enough tokens; least is the number of documents that makes it recurring."""
-    types = "_k binary, doc_id long, line int, leaf long, hash long, exact long, least int" + (", masked binary" if with_line else "")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
-            size = 0
-            for k, doc_id, text in zip(*batch.columns, strict=True):
-                text = text.as_py()
-                if not text:
-                    continue
-                for n, line in enumerate(text.encode().split(b"\n")):
-                    tokens = parse(line)
-                    if len(tokens) < MIN_TOKENS:
-                        continue
-                    masked = b" ".join(tokens)
-                    for column, value in zip(out, (k.as_py(), doc_id.as_py(), n, leaf_of(tokens), _hash(masked), _hash(b" ".join(line.split())), LONG_DOCS if len(tokens) > LONG_TOKENS else MIN_DOCS, masked), strict=True):
-                        column.append(value)
-                    size += len(masked) + 64
-                if size > 8 << 20:
-                    yield _lines_batch(out, with_line)
-                    out, size = [[] for _ in range(8)], 0
-            if out[0]:
-                yield _lines_batch(out, with_line)
-
-    return docs.select("_k", "doc_id", "text").mapInArrow(run, types)
-
-
-def _lines_batch(out: list[list], with_line: bool) -> pa.RecordBatch:
-    kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())[: 7 + with_line]
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=False)], names=["_k", "doc_id", "line", "leaf", "hash", "exact", "least", "masked"][: 7 + with_line])
+def _masked(tokens: Column) -> Column:
+    """Tokens, joined by blanks, with those that hold a digit, @ or :// replaced.
+
+    Both patterns begin at a token's first character only and never go back, so a
+    token of any length is read once.
+    """
+    marked = F.when(tokens.rlike("[0-9@]"), F.regexp_replace(tokens, "(?<![^ ])[^ 0-9@]*+[0-9@][^ ]*+", FIELD.decode())).otherwise(tokens)
+    return F.when(tokens.contains("://"), F.regexp_replace(marked, "(?<![^ ])[^ ]*?://[^ ]*+", FIELD.decode())).otherwise(marked)
+
+
+def parsed(docs: DataFrame) -> DataFrame:
+    """(_k, doc_id, line, leaf, hash, exact, least, masked) of every line of enough tokens; least is the number of documents that makes it recurring."""
+    lines = docs.filter("text <> ''").select("_k", "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "_raw"))
+    # Most lines are words with single blanks between them; patterns are for the others.
+    told = lines.withColumn("_odd", F.col("_raw").contains("  ") | F.col("_raw").contains("://") | F.col("_raw").rlike(r"[\x09-\x0D0-9@]"))
+    blanks = F.when(F.col("_odd"), F.regexp_replace("_raw", f"[{SPACE}]+", " ")).otherwise(F.col("_raw"))
+    plain = told.select("_k", "doc_id", "line", "_odd", F.trim(blanks).alias("_plain"))
+    n = F.octet_length("_plain") - F.octet_length(F.replace("_plain", F.lit(" "), F.lit(""))) + 1
+    # The row id pins the filter here: pushed below the projections it would repeat their work.
+    enough = plain.withColumns({"_n": n, "_bar": F.monotonically_increasing_id()}).filter((F.col("_n") >= MIN_TOKENS) & (F.col("_bar") >= 0))
+    rows = enough.withColumn("masked", F.when(F.col("_odd"), _masked(F.col("_plain"))).otherwise(F.col("_plain")))
+    return rows.select(
+        "_k",
+        "doc_id",
+        "line",
+        F.xxhash64("_n", F.substring_index("masked", " ", DEPTH)).alias("leaf"),
+        F.xxhash64("masked").alias("hash"),
+        F.xxhash64("_plain").alias("exact"),
+        F.when(F.col("_n") > LONG_TOKENS, LONG_DOCS).otherwise(MIN_DOCS).alias("least"),
+        F.col("masked").cast("binary").alias("masked"),
+    )
 
 
 class Templates:
@@ -192,11 +177,11 @@ def recurring_lines(df: DataFrame, scratch: Scratch) -> DataFrame:
     """(_k, dropped): key of the row and numbers of the lines to drop, for documents that have any."""
     ship(df.sparkSession)
     docs = df.select(row_key("doc_id", "text").alias("_k"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = scratch.write(_parsed(docs, False), "lines")
+    lines = scratch.write(parsed(docs).drop("masked"), "lines")
     kinds = scratch.write(lines.groupBy("leaf", "hash", "least").agg(F.count(F.lit(1)).alias("n")), "kinds")
     leaves = scratch.write(kinds.groupBy("leaf").agg(F.sum("n").alias("total"), F.min("least").alias("least")).filter("total >= least").select("leaf"), "leaves")
     n_leaves = leaves.count()
-    candidates = _parsed(docs, True).join(small(leaves, n_leaves), "leaf").groupBy("leaf", "hash").agg(F.count(F.lit(1)).alias("n"), F.first("masked").alias("masked"))
+    candidates = parsed(docs).join(small(leaves, n_leaves), "leaf").groupBy("leaf", "hash").agg(F.count(F.lit(1)).alias("n"), F.first("masked").alias("masked"))
     templates = scratch.write(_clustered(candidates), "templates")
     tokens = F.split(F.col("template").cast("string"), " ")
     constant = F.size(F.array_remove(tokens, FIELD.decode()))
