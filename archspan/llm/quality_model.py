@@ -48,16 +48,11 @@ def _features() -> dict[str, Column]:
         "letter_share": F.col("n_letters") / chars,
         "capital_share": F.col("n_capitals") / letters,
         "words_a_line": F.col("n_words") / lines,
-        "stop_share": F.col("_stops") / words,
         "mark_share": F.col("_marks") / words,
         "digit_share": F.col("_digits") / chars,
     }
 
 
-#: Short function words of the four languages (fixed values).
-STOPS = "the of and to in a is that for it on with as was de la le et les des en un une que der die das und von mit den el los y del las"
-
-
 def _counted(pattern: str) -> Column:
     text = F.coalesce(F.col("text"), F.lit(""))
     return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("long")
@@ -65,9 +60,8 @@ def _counted(pattern: str) -> Column:
 
 def with_features(df: DataFrame) -> DataFrame:
     """``df`` plus ``f_*`` columns, all finite doubles."""
-    df = with_statistics(without(df, *ADDED, "_stops", "_marks", "_digits"))
-    stops = F.size(F.filter("_w", lambda w: F.lower(w).isin(*STOPS.split())))
-    df = df.withColumns({"_stops": stops.cast("long"), "_marks": _counted(r"[.,;:!?]+"), "_digits": _counted("[0-9]+")})
+    df = with_statistics(without(df, *ADDED, "_marks", "_digits"))
+    df = df.withColumns({"_marks": _counted(r"[.,;:!?]+"), "_digits": _counted("[0-9]+")})
     return df.withColumns({f"f_{k}": v for k, v in _features().items()})
 
 
