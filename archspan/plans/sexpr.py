@@ -1,8 +1,8 @@
 """Set-query language: S-expressions compiled to one lazy DataFrame plan.
 
-``(files (intersect (deps "a" 2) (rdeps "b" 1)))`` becomes a single plan; only the
-caller's action runs it. Ids resolve to a few modules through ``lookup.resolve``,
-whose result stays lazy as well.
+``(files (intersect (deps "a" 2) (rdeps "b" 1)))`` becomes a single plan; the caller's action
+runs it, but for walks deeper than one level, whose levels are written tables. Ids resolve to
+a few modules through ``lookup.resolve``, whose result stays lazy as well.
 """
 
 from __future__ import annotations
