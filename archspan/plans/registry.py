@@ -413,8 +413,7 @@ def _rewritten(spark, sf_dir, trie=False):
     if key not in _WRITTEN:
         path = Scratch(spark).folder.removeprefix("file:") + ".sexp"
         factmap.write_map(P.graph(spark, sf_dir), path, trie)
-        facts = Scratch(spark).write(factmap.read_facts(spark, path), "facts")
-        _WRITTEN[key] = factmap.graph_of(facts)
+        _WRITTEN[key] = factmap.read_map(spark, path)
     return _WRITTEN[key]
 
 
