@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
+from .graph import FRONTIER_BYTES, FRONTIER_ROW
+from .scratch import Scratch
 
 # Environment names, the dependency they mean and its transport.
 ENV_RULES = (
@@ -60,11 +62,19 @@ def yaml_to_json(text: pd.Series) -> pd.Series:
     """First YAML document as JSON if it is a mapping, else null."""
     import yaml
 
+    def load(raw: str):
+        if yaml.__with_libyaml__:
+            try:
+                return yaml.load(raw, yaml.CSafeLoader)
+            except yaml.YAMLError:
+                pass  # what libyaml refuses is left to the other parser
+        return yaml.safe_load(raw)
+
     def one(raw: str | None) -> str | None:
         if raw is None:
             return None
         try:
-            data = yaml.safe_load(raw)
+            data = load(raw)
         except yaml.YAMLError:
             return None
         return json.dumps(data, default=str) if isinstance(data, dict) else None
@@ -99,20 +109,24 @@ def _preferred(files: DataFrame, names: tuple[str, ...]) -> DataFrame:
     return ranked.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "_r")
 
 
-def _parts(name: str) -> Column:
-    """All different parts of a text, itself included."""
+def _parts(name: str, sizes: list[int]) -> Column:
+    """All different parts of a text that have one of some lengths."""
     size = F.length(name)
-    starting = lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substring(F.col(name), i, n))
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), starting)))
+    starting = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substring(F.col(name), i, F.lit(n)))
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.flatten(F.array(none, *[F.when(size >= n, starting(n)).otherwise(none) for n in sizes])))
 
 
 def _env_edges(rows: DataFrame, known: DataFrame, id_column: str = "id") -> DataFrame:
     """Edges of (id, env): to a known name that holds the dependency's, else to the dependency."""
     deps = rows.withColumn("_d", env_dependency(F.col("env"))).select(id_column, F.col("_d.dep").alias("dep"), F.col("_d.transport").alias("transport")).filter("dep is not null")
-    # A known name holds the dependency's: an equi-join on every part of the known names, which are short.
-    parts = known.select(F.col("name").alias("_k")).distinct().withColumn("dep", F.explode(_parts("_k"))).select("_k", "dep")
-    hits = deps.select("dep").distinct().join(parts, "dep")
-    best = hits.groupBy("dep").agg(F.min("_k").alias("_k"))
+    # A known name holds the dependency's: an equi-join on the parts of known names that are as long as some dependency.
+    # Parts are many more than the names that sizes are estimated from, so neither side may be broadcast unseen.
+    sizes = sorted(r[0] for r in deps.select(F.length("dep")).distinct().collect())
+    parts = known.select(F.col("name").alias("_k")).distinct().withColumn("dep", F.explode(_parts("_k", sizes)))
+    least = parts.groupBy("dep").agg(F.min("_k").alias("_k"))
+    best = Scratch(rows.sparkSession).write(deps.select("dep").distinct().join(least.hint("merge"), "dep"), "best")
+    best = F.broadcast(best) if best.count() * FRONTIER_ROW <= FRONTIER_BYTES else best.hint("merge")
     named = deps.join(best, "dep", "left").select(F.col(id_column).alias("source"), F.concat(F.lit("infra/"), F.coalesce("_k", "dep")).alias("target"), "transport")
     return named.groupBy("source", "target").agg(F.min("transport").alias("transport")).select("source", "target", F.lit("k8s-depends").alias("edge_type"), F.lit("env").alias("via"), "transport", F.lit("").alias("extra"))
 
@@ -126,24 +140,34 @@ def kustomize(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of workloads that kustomizations list."""
     files = kept(files)
     get = lambda c, path, kind="string": F.try_variant_get(c, path, kind)
-    tops = files.filter(_base().isin(*KUSTOMIZATIONS)).select(_dir().alias("top"), F.try_parse_json(yaml_to_json("content")).alias("j"))
+    # Parsing takes long for its bytes, so files are dealt by cores and not by size.
+    tasks = 4 * files.sparkSession.sparkContext.defaultParallelism
+    tops = files.filter(_base().isin(*KUSTOMIZATIONS)).select(_dir().alias("top"), "content").repartition(tasks, "top").select("top", F.try_parse_json(yaml_to_json("content")).alias("j"))
     listed = tops.select("top", F.explode(get("j", "$.resources", "array<string>")).alias("resource")).filter("resource is not null and resource <> ''")
     dirs = listed.select(normal_path(F.concat_ws("/", F.nullif("top", F.lit("")), "resource")).alias("dir")).distinct()
-    loads = _preferred(files, WORKLOADS).join(dirs, "dir", "left_semi").select("dir", "path", F.try_parse_json(yaml_to_json("content")).alias("j"))
+    # Manifests are longer than their paths, which sizes are estimated from: no side is broadcast. They are parsed once.
+    loads = _preferred(files, WORKLOADS).join(dirs.hint("merge"), "dir", "left_semi").repartition(tasks, "dir").select("dir", "path", yaml_to_json("content").alias("json"))
+    # Written, as a filter on what is parsed would be pushed below the parser and have it run again.
+    loads = Scratch(files.sparkSession).write(loads, "manifests").withColumn("j", F.try_parse_json("json"))
     loads = loads.select("dir", "path", "j", get("j", "$.kind").alias("kind"), get("j", "$.metadata.name").alias("name")).filter("kind in ('Deployment', 'StatefulSet') and name <> ''")
-    pods = loads.withColumn("c", get("j", "$.spec.template.spec.containers[0]", "variant"))
-    found = pods.filter("c is not null").withColumn("id", F.concat(F.lit("infra/"), "name"))
-    nodes = found.select(
-        "id",
+    loads = loads.withColumn("c", get("j", "$.spec.template.spec.containers[0]", "variant"))
+    loads = loads.select(
+        "dir",
+        "name",
+        F.col("c").isNotNull().alias("runs"),
+        F.concat(F.lit("infra/"), "name").alias("id"),
         F.lower("kind").alias("kind"),
         F.coalesce(get("c", "$.image"), F.lit("")).alias("image"),
         F.coalesce(get("c", "$.ports[0].containerPort", "int"), F.lit(0)).alias("port"),
         F.coalesce(F.try_variant_get("j", "$.metadata.labels['app.kubernetes.io/component']", "string"), F.lit("")).alias("component"),
         F.col("path").alias("source_file"),
+        F.transform(get("c", "$.env", "array<variant>"), lambda e: get(e, "$.name")).alias("envs"),
     )
+    found = loads.filter("runs")
+    nodes = found.select(*NODE_COLUMNS)
     services = _preferred(files, SERVICES).select("dir", F.try_parse_json(yaml_to_json("content")).alias("s"))
-    served = found.join(services, "dir").select(F.col("id").alias("source"), F.col("name").alias("target"), F.lit("k8s-service").alias("edge_type"), F.lit("service-manifest").alias("via"), F.lit("").alias("transport"), F.coalesce(get("s", "$.metadata.namespace"), F.lit("")).alias("extra"))
-    env = found.select("id", F.explode(get("c", "$.env", "array<variant>")).alias("e")).select("id", get("e", "$.name").alias("env")).filter("env <> ''")
+    served = found.join(services.hint("merge"), "dir").select(F.col("id").alias("source"), F.col("name").alias("target"), F.lit("k8s-service").alias("edge_type"), F.lit("service-manifest").alias("via"), F.lit("").alias("transport"), F.coalesce(get("s", "$.metadata.namespace"), F.lit("")).alias("extra"))
+    env = found.select("id", F.explode("envs").alias("env")).filter("env <> ''")
     return nodes, served.unionByName(_env_edges(env, loads.select("name"))).unionByName(_image_edges(nodes))
 
 

@@ -45,3 +45,20 @@ def test_topology(spark):
 def test_empty(spark):
     nodes, edges = infra.topology(spark.createDataFrame([], "path string, content string"))
     assert nodes.collect() == [] and edges.collect() == []
+
+
+def test_parts_of_names_are_never_broadcast(spark):
+    """A name has many parts, and sizes are estimated from the names alone."""
+    rows = spark.createDataFrame([("i1", "REDIS_URL"), ("i2", "PAY_HOST"), ("i3", "PLAIN")], "id string, env string")
+    known = spark.createDataFrame([("shop-pay",), ("pay",), ("pa",), ("x",)], "name string")
+    planned = []
+    write = infra.Scratch.write
+    try:
+        infra.Scratch.write = lambda self, df, name: (planned.append(df._jdf.queryExecution().optimizedPlan().toString()), write(self, df, name))[1]
+        got = {(r["source"], r["target"]) for r in infra._env_edges(rows, known).collect()}
+    finally:
+        infra.Scratch.write = write
+    assert got == {("i1", "infra/redis"), ("i2", "infra/pay")}
+    assert len(planned) == 1 and "strategy=merge" in planned[0]
+    text = spark.createDataFrame([("abcab", "x")], "name string, y string")
+    assert sorted(text.select(infra._parts("name", [2, 4, 9])).first()[0]) == ["ab", "abca", "bc", "bcab", "ca"]
